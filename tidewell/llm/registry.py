@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from tidewell.llm import pieces
+from tidewell.llm import decontam, pieces, secrets
 from tidewell.llm.common import table
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_piece_codec(spark, sf_dir):
     return pieces.digest_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_secret_scan": op8_secret_scan,
+    "op9_decontamination": op9_decontamination,
     "op10_piece_codec": op10_piece_codec,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op8_secret_scan": secrets.ORACLE,
+    "op9_decontamination": decontam.ORACLE,
+}
