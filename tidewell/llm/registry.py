@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, pieces, secrets
+from tidewell.llm import decontam, pieces, secrets, simhash
 from tidewell.llm.common import table
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -19,6 +23,7 @@ def op10_piece_codec(spark, sf_dir):
 
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_piece_codec": op10_piece_codec,
