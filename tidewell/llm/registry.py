@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, pieces, secrets, simhash
+from tidewell.llm import decontam, lines, pieces, secrets, simhash
 from tidewell.llm.common import table
 
 
+def op2_line_templates(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_piece_codec(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_line_templates": op2_line_templates,
     "op6_simhash": op6_simhash,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
@@ -30,6 +35,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_line_templates": lines.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op9_decontamination": decontam.ORACLE,
 }
