@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, lines, pieces, secrets, simhash
+from tidewell.llm import decontam, lines, pieces, quality, secrets, simhash
 from tidewell.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -29,6 +33,7 @@ def op10_piece_codec(spark, sf_dir):
 QUERIES = {
     "op2_line_templates": op2_line_templates,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_piece_codec": op10_piece_codec,
