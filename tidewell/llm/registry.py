@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, lines, pieces, quality, secrets, simhash
+from tidewell.llm import decontam, embeddings, lines, pieces, quality, secrets, simhash
 from tidewell.llm.common import table
 
 
+def op1_spherical_caps(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_templates(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_piece_codec(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_spherical_caps": op1_spherical_caps,
     "op2_line_templates": op2_line_templates,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
