@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, embeddings, lines, pieces, quality, secrets, simhash
+from tidewell.llm import decontam, embeddings, language_model, lines, pieces, quality, secrets, simhash
 from tidewell.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_templates(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
 
 
+def op3_gated_model(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_piece_codec(spark, sf_dir):
 QUERIES = {
     "op1_spherical_caps": op1_spherical_caps,
     "op2_line_templates": op2_line_templates,
+    "op3_gated_model": op3_gated_model,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
