@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import decontam, embeddings, language_model, lines, pieces, quality, secrets, simhash
+from tidewell.llm import decontam, embeddings, language_model, lines, pieces, preferences, quality, secrets, simhash, token_counts
 from tidewell.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_gated_model(spark, sf_dir):
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op4_length_histogram(spark, sf_dir):
+    return token_counts.report(table(spark, sf_dir, "documents"))
+
+
+def op5_preference_pairs(spark, sf_dir):
+    return preferences.report(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op1_spherical_caps": op1_spherical_caps,
     "op2_line_templates": op2_line_templates,
     "op3_gated_model": op3_gated_model,
+    "op4_length_histogram": op4_length_histogram,
+    "op5_preference_pairs": op5_preference_pairs,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_secret_scan": op8_secret_scan,
@@ -51,6 +61,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_line_templates": lines.ORACLE,
+    "op5_preference_pairs": preferences.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op9_decontamination": decontam.ORACLE,
 }
