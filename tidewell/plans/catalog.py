@@ -1,4 +1,6 @@
 """Registered queries and their oracle SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from tidewell.plans import dialect_queries
+
+QUERIES = dict(dialect_queries.QUERIES)
+ORACLE_SQL = dict(dialect_queries.ORACLE_SQL)
