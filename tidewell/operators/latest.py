@@ -24,7 +24,7 @@ def latest_by_changes(df: DataFrame, keys: list[str], ts: str, arrival: str, wei
     if retract:
         gone = gone | F.coalesce(F.col(retract), F.lit(False))
     order = F.struct(F.col(ts), F.col(arrival))
-    out = df.withColumn("__gone", gone).groupBy(*keys).agg(F.max_by(F.struct("*", F.col("__gone")), order).alias("__row"))
+    out = df.withColumn("__gone", gone).groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("__row"))
     return out.filter("not __row.__gone").select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 

@@ -27,6 +27,10 @@ def parse_path(path: str) -> tuple:
     return tuple(steps)
 
 
+def _getter(steps: tuple):
+    return lambda x: V.json_get(x, steps)
+
+
 def select_path(text: Column, path: str) -> Column:
     """array of JSON texts that the path finds; [*] spreads arrays."""
     steps = parse_path(path)
@@ -34,8 +38,7 @@ def select_path(text: Column, path: str) -> Column:
     for s in [*steps, None]:
         if s == "*" or s is None:
             if run:
-                taken = tuple(run)
-                found = F.filter(F.transform(found, lambda x, t=taken: V.json_get(x, t)), lambda x: x.isNotNull())
+                found = F.filter(F.transform(found, _getter(tuple(run))), lambda x: x.isNotNull())
                 run = []
             if s == "*":
                 found = F.flatten(F.filter(F.transform(found, V.json_array), lambda x: x.isNotNull()))
