@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewell.functions import registry as R
 from tidewell.functions import values as V
@@ -75,8 +76,10 @@ class Frame:
 class Session:
     """Sources by name, and statements over them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, scalar_null_pad: bool = False, identity: str = "columns"):
+        """scalar_null_pad: in table mode, an outer row without a match keeps a NULL (SQL) instead of going.
+        identity: "columns", or "event" for a UNION whose equal rows with different event times stay apart."""
+        self.spark, self.scalar_null_pad, self.identity = spark, scalar_null_pad, identity
         self.relations: dict[str, Relation] = {}
 
     def register(self, name: str, df: DataFrame, ts: str | Column | None = None, json: tuple[str, ...] = (), arrival: str | None = None) -> Session:
@@ -101,7 +104,7 @@ class Session:
         return Builder(self, mode).query(parse(text))
 
     def sql(self, text: str, mode: str = "table") -> DataFrame:
-        """The statement's columns; a windowed one ends with window_start and window_end."""
+        """The statement's columns; a windowed one ends with window_start and window_end, and with _final under EMIT CHANGES."""
         r = self.compile(text, mode)
         return r.df.select(*[q(n) for n, _ in r.fields])
 
@@ -205,9 +208,12 @@ class Builder:
                 raise DialectError(f"UNION branches differ in the kind of {name}", *node.pos)
             kinds.append(kind)
         names = [n for n, _ in first.fields]
-        dfs = [p.df.select(*[q(n).cast(V.SPARK[k]).alias(out) for (n, _), k, out in zip(p.fields, kinds, names, strict=True)], *([] if node.distinct else [q(m) for m in META])) for p in parts]
+        plain = node.distinct and self.session.identity == "columns"
+        dfs = [p.df.select(*[q(n).cast(V.SPARK[k]).alias(out) for (n, _), k, out in zip(p.fields, kinds, names, strict=True)], *([] if plain else [q(m) for m in META])) for p in parts]
         df = reduce(DataFrame.union, dfs)
-        if node.distinct:
+        if node.distinct and not plain:
+            df = df.distinct()
+        elif node.distinct:
             df = df.distinct().withColumns({"_ts": F.lit(0).cast("bigint"), "_source": F.lit(None).cast("string")})
         return Relation(df, list(zip(names, kinds, strict=True)))
 
@@ -365,6 +371,8 @@ class Builder:
         sub: S.Select = x.query
         if len(sub.items) != 1 or not is_aggregate(sub.items[0].expr):
             raise DialectError("a scalar subquery is one aggregate", *x.pos)
+        if sub.group_by or sub.group_all:
+            raise DialectError("a scalar subquery has no GROUP BY of its own", *x.pos)
         own = {sub.source.alias, *(j.source.alias for j in sub.joins)}
         inner_keys, outer_keys, rest = [], [], []
         for c in conjuncts(sub.where):
@@ -390,7 +398,7 @@ class Builder:
             df = J.snapshot_scalar(fr.df, "__ts", inner.df.select(F.col("_ts").alias("__end"), q(name).alias("__value")), "__end", "__value", inner.window.size, name)
         elif outer_keys:
             on = [self.promoted(self.expr(fr, o), Typed(q(k), dict(inner.fields)[k])) for o, k in zip(outer_keys, keys, strict=True)]
-            df = fr.df.join(inner.df.select(name, *keys), reduce(lambda a, b: a & b, [a == b for a, b in on]), "inner").drop(*keys)
+            df = fr.df.join(inner.df.select(name, *keys), reduce(lambda a, b: a & b, [a == b for a, b in on]), "left" if self.session.scalar_null_pad else "inner").drop(*keys)
         else:
             df = fr.df.join(F.broadcast(inner.df.select(name)))  # at most one row
         return replace(fr, df=df, extra={**fr.extra, x: (name, kind)})
@@ -466,11 +474,19 @@ class Builder:
                 raise DialectError("PERCENTILE_CONT takes a literal share from 0 to 1", *x.pos)
             t = R.aggregate(x.name, args, x.distinct)
             aggs[x] = (name, t.kind)
-            calls.append(t.col.alias(name))
+            calls.append((t.col, name))
         group = [*cols.values(), *bounds]
-        counted = [*calls, F.count(F.lit(1)).alias("__rows")]
+        counted = [*(c.alias(n) for c, n in calls), F.count(F.lit(1)).alias("__rows")]
+        rows = df
         # Without keys there is one group, which only exists once it has a row.
         df = df.groupBy(*group).agg(*counted) if group else df.agg(*counted).filter("__rows > 0")
+        changes = node.emit == "CHANGES"
+        if changes:  # one row per event with what the window held by then, then the final one
+            if any(x.distinct or x.name in ("MEDIAN", "PERCENTILE_CONT") for x in aggs):
+                raise DialectError("EMIT CHANGES takes aggregates that run: no DISTINCT, MEDIAN or PERCENTILE_CONT", *node.pos)
+            so_far = W.partitionBy(*group).orderBy("__arrival" if "__arrival" in rows.columns else "__ts").rowsBetween(W.unboundedPreceding, 0)
+            steps = rows.select(*group, *[c.over(so_far).alias(n) for c, n in calls], F.lit(1).cast("bigint").alias("__rows"), F.lit(False).alias("_final"))
+            df = steps.unionByName(df.withColumn("_final", F.lit(True)))
         after = Frame(df, extra={**{e: (c, keys[e].kind) for e, c in cols.items()}, **aggs, **fr.extra})
         names = self.names(items)
         out, fields = [], []
@@ -479,6 +495,9 @@ class Builder:
             out.append(t.col.cast(V.SPARK[t.kind]).alias(n))
             fields.append((n, t.kind))
         fields += [(b, V.LONG) for b in bounds]
+        if changes:
+            fields.append(("_final", V.BOOL))
+            bounds = [*bounds, "_final"]
         time = F.col("window_end") if node.window else F.lit(0).cast("bigint")
         df = df.select(*out, *bounds, time.alias("_ts"), F.lit(None).cast("string").alias("_source"))
         return Relation(df, fields, node.window, True)

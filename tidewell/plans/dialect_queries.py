@@ -101,6 +101,8 @@ STATEMENTS: dict[str, tuple[str, str, str]] = {
     "win_hopping_gaps": ("pipeline", "SELECT COUNT(*) AS n FROM events WINDOW HOPPING(SIZE 1 HOURS, ADVANCE BY 3 HOURS)", f"SELECT count(*) AS n, {BUCKET.format(3 * HOUR)} AS window_start, {BUCKET.format(3 * HOUR)} + {HOUR} AS window_end FROM events WHERE {E} - ({BUCKET.format(3 * HOUR)}) < {HOUR} GROUP BY ALL"),
     "win_session": ("pipeline", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id WINDOW SESSION(GAP 3 HOURS)",
                     f"SELECT user_id, count(*) AS n, min(t) AS window_start, max(t) AS window_end FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, user_id, {E} AS t, CASE WHEN {E} - lag({E}) OVER (PARTITION BY user_id ORDER BY {E}, event_id) <= {3 * HOUR} THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s"),
+    "emit_changes_sql": ("pipeline", "SELECT event_type, COUNT(*) AS n, MAX(value) AS high FROM events GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS) EMIT CHANGES",
+                         f"WITH w AS (SELECT *, {BUCKET.format(HOUR)} AS s FROM events) SELECT event_type, count(*) OVER r AS n, max(value) OVER r AS high, s AS window_start, s + {HOUR} AS window_end, false AS _final FROM w WINDOW r AS (PARTITION BY event_type, s ORDER BY event_id ROWS UNBOUNDED PRECEDING) UNION ALL SELECT event_type, count(*), max(value), s, s + {HOUR}, true FROM w GROUP BY event_type, s"),
     "win_global": ("pipeline", "SELECT COUNT(*) AS n, COUNT(DISTINCT user_id) AS users FROM events WINDOW TUMBLING(SIZE 24 HOURS)", f"SELECT count(*) AS n, count(DISTINCT user_id) AS users, {BUCKET.format(DAY)} AS window_start, {BUCKET.format(DAY)} + {DAY} AS window_end FROM events GROUP BY ALL"),
     "win_nested": ("pipeline", "SELECT h.event_type, MAX(h.n) AS peak, COUNT(*) AS hours FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)) h GROUP BY h.event_type WINDOW TUMBLING(SIZE 24 HOURS)",
                    f"WITH h AS (SELECT event_type, count(*) AS n, {BUCKET.format(HOUR)} + {HOUR} AS e FROM events GROUP BY ALL) SELECT event_type, max(n) AS peak, count(*) AS hours, e - e % {DAY} AS window_start, e - e % {DAY} + {DAY} AS window_end FROM h GROUP BY ALL"),

@@ -320,6 +320,26 @@ def fmt_fix(spark, sf_dir):
     return formats.fix_messages(lines, {"event_id": "34", "account": "1", "kind": "35"}).withColumn("event_id", F.col("event_id").cast("long"))
 
 
+@query("SELECT event_id, event_type, value FROM events")
+def fmt_ndjson(spark, sf_dir):
+    lines = events(spark, sf_dir).select(F.explode(F.array(F.to_json(F.struct("event_id", "event_type", "value")), F.lit("  "))).alias("value"))
+    return formats.ndjson_rows(lines, "event_id bigint, event_type string, value double")
+
+
+@query("SELECT event_id::VARCHAR AS id, 'a \"quoted\"; ' || event_type AS note, '' AS missing FROM events")
+def fmt_csv(spark, sf_dir):
+    lines = events(spark, sf_dir).select(F.concat(F.col("event_id").cast("string"), F.lit(';"a ""quoted""; '), F.col("event_type"), F.lit('"')).alias("value"))
+    return formats.csv_rows(lines, ["id", "note", "missing"], ";")
+
+
+@query("SELECT * FROM (VALUES ('event_id', 'long'), ('event_type', 'string'), ('value', 'double'), ('when', 'timestamp'), ('raw', 'json')) t(field, kind)")
+def infer_schema(spark, sf_dir):
+    """Kinds by notation of the first 100 items."""
+    e = events(spark, sf_dir).orderBy("event_id").limit(formats.INFER_ITEMS)
+    doc = F.to_json(F.struct("event_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("when"), F.from_json("props", "k int").alias("raw")))
+    return spark.createDataFrame(formats.infer_kinds([r[0] for r in e.select(doc).collect()]), "field string, kind string")
+
+
 # -- graphs and generators ----------------------------------------------------------------------------
 
 
@@ -352,6 +372,26 @@ def gen_trades(spark, sf_dir):
     return generators.trades(spark, 5000)
 
 
+@query()
+def gen_quotes(spark, sf_dir):
+    return generators.quotes(spark, 5000)
+
+
+@query()
+def gen_orders(spark, sf_dir):
+    return generators.orders(spark, 5000)
+
+
+@query()
+def gen_app_events(spark, sf_dir):
+    return generators.app_events(spark, 5000)
+
+
+@query()
+def gen_structures(spark, sf_dir):
+    return generators.structures(spark, 5000)
+
+
 @query()
 def gen_order_events(spark, sf_dir):
     return generators.order_events(spark, 5000)

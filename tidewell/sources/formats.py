@@ -24,6 +24,18 @@ def ndjson(spark: SparkSession, path: str, schema: str | T.StructType | None = N
     return (r.schema(schema) if schema else r).json(path)
 
 
+def ndjson_rows(lines: DataFrame, schema: str, col: str = "value") -> DataFrame:
+    """The same over a column of lines; blank ones are skipped, malformed ones give a row of NULLs."""
+    return lines.filter(F.length(F.trim(col)) > 0).select(F.from_json(col, schema).alias("__r")).select("__r.*")
+
+
+def csv_rows(lines: DataFrame, names: list[str], delimiter: str = ",", col: str = "value") -> DataFrame:
+    """Cells of delimited lines as text; short lines are padded with ""."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    parsed = lines.select(F.from_csv(col, schema, {"sep": delimiter, "quote": '"', "escape": '"'}).alias("__r"))
+    return parsed.select(*[F.coalesce(F.col("__r")[n], F.lit("")).alias(n) for n in names])
+
+
 def json_document(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """Files that hold an array of items, or one object, which counts as one item."""
     r = spark.read.option("multiLine", True).option("mode", "FAILFAST")
