@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.plans.builder import Session
+from tidewell.plans.builder import Session, references
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+#: Event time of the tables that have one.
+TIMES = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
 
 
-def session(spark: SparkSession, sf_dir: str) -> Session:
+def session(spark: SparkSession, sf_dir: str, names: list[str]) -> Session:
+    """A session over the named sources; only their files are opened."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     s = Session(spark)
-    s.register("events", read("events"), ts="ts", json=("props",), arrival="event_id")
-    for t in TABLES:
-        s.register(t, read(t), ts="o_orderdate" if t == "orders" else "l_shipdate" if t == "lineitem" else None)
-    legs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))), lambda x: F.struct(x["l_linenumber"].alias("leg"), x["l_quantity"].alias("notional"), x["l_returnflag"].alias("ccy")))
-    structures = read("lineitem").groupBy("l_orderkey").agg(legs.alias("legs")).select(F.col("l_orderkey").alias("trade_id"), F.to_json("legs").alias("legs"))
-    s.register("structures", structures, json=("legs",))
+    for t in names:
+        if t == "events":
+            s.register(t, read(t), ts="ts", json=("props",), arrival="event_id")
+        elif t == "structures":
+            legs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag"))), lambda x: F.struct(x["l_linenumber"].alias("leg"), x["l_quantity"].alias("notional"), x["l_returnflag"].alias("ccy")))
+            by_order = read("lineitem").groupBy("l_orderkey").agg(legs.alias("legs")).select(F.col("l_orderkey").alias("trade_id"), F.to_json("legs").alias("legs"))
+            s.register(t, by_order, json=("legs",))
+        else:
+            s.register(t, read(t), ts=TIMES.get(t))
     return s
 
 
@@ -144,16 +149,17 @@ STATEMENTS: dict[str, tuple[str, str, str]] = {
 
 
 def _query(mode: str, text: str):
-    return lambda spark, sf_dir: session(spark, sf_dir).sql(text, mode)
+    names = references(text)
+    return lambda spark, sf_dir: session(spark, sf_dir, names).sql(text, mode)
 
 
 def table_over_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = session(spark, sf_dir).define("positions", "SELECT user_id, COUNT(*) AS trades, AVG(value) AS avg_value FROM events GROUP BY user_id")
+    s = session(spark, sf_dir, ["events"]).define("positions", "SELECT user_id, COUNT(*) AS trades, AVG(value) AS avg_value FROM events GROUP BY user_id")
     return s.sql("SELECT p.user_id, p.trades, ROUND(p.avg_value, 6) AS avg_value FROM positions p WHERE p.trades > 60")
 
 
 def pipeline_as_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = session(spark, sf_dir).define("hourly", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)", "pipeline")
+    s = session(spark, sf_dir, ["events"]).define("hourly", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)", "pipeline")
     return s.sql("SELECT event_type, COUNT(*) AS windows, MAX(n) AS peak, MIN(window_start) AS first_start FROM hourly GROUP BY event_type")
 
 
