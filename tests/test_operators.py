@@ -67,8 +67,8 @@ def test_watermark_over_blocks(spark, monkeypatch):
 
 
 def test_latest_by_changes(spark):
-    df = spark.createDataFrame([("a", 1, 1, 1, False), ("a", 5, 1, 2, False), ("a", 5, -1, 3, False), ("b", 2, 1, 4, False), ("b", 2, 1, 5, True), ("c", 3, 1, 6, False), ("c", 2, -1, 7, False)], "k string, t long, _weight long, n long, r boolean")
-    assert [r[:2] for r in rows(latest.latest_by_changes(df, ["k"], "t", "n", retract="r"))] == [("c", 3)]
+    df = spark.createDataFrame([("a", 1, 1, 1, False), ("a", 5, 1, 2, False), ("a", 5, -1, 3, False), ("b", 2, 1, 4, False), ("b", 2, 1, 5, True), ("c", 3, 1, 6, False), ("c", 2, -1, 7, False), ("d", 9, 1, 8, False), ("d", 1, 1, 9, True), ("d", 2, 1, 10, False)], "k string, t long, _weight long, n long, r boolean")
+    assert [r[:2] for r in rows(latest.latest_by_changes(df, ["k"], "t", "n", retract="r"))] == [("c", 3), ("d", 2)]
 
 
 def test_dedup_is_first_in_first_out(spark):

@@ -18,13 +18,18 @@ def latest_by_changes(df: DataFrame, keys: list[str], ts: str, arrival: str, wei
     """latest_by over a changelog in arrival order.
 
     The winner is the newest assertion; if the last thing that happened to it is its retraction (weight
-    below 0 of the same time, or a retraction by key), the key is gone: an older row doesn't come back.
+    below 0 of the same time), the key is gone: an older row doesn't come back. A row whose `retract` flag is
+    true drops its key whatever its time; only what arrives later counts from then on.
     """
-    gone = F.col(weight) < 0
     if retract:
-        gone = gone | F.coalesce(F.col(retract), F.lit(False))
-    order = F.struct(F.col(ts), F.col(arrival))
-    out = df.withColumn("__gone", gone).groupBy(*keys).agg(F.max_by(F.struct("*"), order).alias("__row"))
+        flag = F.coalesce(F.col(retract), F.lit(False))
+        last = df.filter(flag).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(arrival).alias("__dropped"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        df = df.filter(~flag).join(last, same, "left").filter(F.col("__dropped").isNull() | (F.col(arrival) > F.col("__dropped"))).select(*df.columns)
+    marked = df.withColumn("__gone", F.col(weight) < 0)
+    out = marked.groupBy(*keys).agg(F.max_by(F.struct("*"), F.struct(F.col(ts), F.col(arrival))).alias("__row"))
     return out.filter("not __row.__gone").select(*[F.col("__row")[c].alias(c) for c in df.columns])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def search_exact(df: DataFrame, columns: list[str], query: str, key: str, k: int
     """Rows in which every word of the query is a token, a token's prefix or a substring, or the whole query is a substring."""
     text = text_of(columns)
     want = query.lower()
-    words = [w for w in __import__("re").split(r"[\W_]+", want) if w]
+    words = [w for w in re.split(r"[\W_]+", want) if w]
     match = F.instr(text, want) > 0
     if words:
         every = F.lit(True)
