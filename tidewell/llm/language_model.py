@@ -13,7 +13,7 @@ state carried on from window to window, on at most `SAMPLE` training documents o
 Scoring runs over whole texts: batches of documents advance together, window by window, each with its
 own state from its first token to its end.
 
-A worker knows the counts of the `KNOWN` commonest words; rarer ones leave as (document, word,
+A worker knows the counts of the commonest words, at most `KNOWN`; rarer ones leave as (document, word,
 repeats) and meet their counts in a join, which is where what is gathered grows with the corpus.
 
 Null text counts as empty (it has the end only). Null ids count as the empty text for the fold. Repeated
@@ -251,7 +251,7 @@ class GatedModel:
 class Scorer:
     """What a worker needs: the known words' ids and counts, the totals, and the network."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int, shape_total: np.ndarray, shape_distinct: np.ndarray):
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         words, counts = [words[i] for i in order], counts[order]
         n = min(VOCABULARY, len(words))
@@ -267,8 +267,13 @@ class Scorer:
         self.log_count = np.log10(counts + SMOOTH)
         self.seen = counts > 0
         self.id_of = np.concatenate([np.arange(n), n + np.array([shape(w) for w in words[n:]], np.int64)]).astype(np.int64)
-        self.log_shape = np.log10(shape_total + SMOOTH * (shape_distinct + 1))
-        self.model = GatedModel(counts[:n], shape_total)
+        self.words, self.counts = words[:n], counts[:n]
+        self.log_shape = self.model = None
+
+    def set_shapes(self, total: np.ndarray, distinct: np.ndarray) -> None:
+        """What the words outside the vocabulary come to in each shape; starts the network."""
+        self.log_shape = np.log10(total + SMOOTH * (distinct + 1))
+        self.model = GatedModel(self.counts, total)
 
     def stream(self, texts: list[str]) -> np.ndarray:
         known = [self.index.get(w, w) for t in texts for w in tokens(t)]
@@ -305,13 +310,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(~held_out(F.col("i"), FOLDS, FOLD))
     counts = cut(count_words(d, "t"))
     total = counts.agg(F.sum("c").alias("n"), F.count("c").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    vocabulary = counts.sparkSession.createDataFrame([(r.word,) for r in top[:VOCABULARY]] + [("",)], "word string").distinct()
+    # The commonest words by a threshold on the count, so that no task sends words that aren't taken. Eighths of a
+    # doubling are fine enough; the list of their sizes has a few hundred rows at any size of corpus.
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        if held + r.n > KNOWN:
+            break
+        least, held = r.level, held + r.n
+    top = counts.filter(level >= least).collect() if least is not None else []
+    scorer = Scorer([r.word.encode("utf-8") for r in top], np.array([r.c for r in top], np.int64), total.n or 0, total.v)
+    vocabulary = counts.sparkSession.createDataFrame([(w.decode("utf-8"),) for w in scorer.words], "word string")
     shapes = counts.join(F.broadcast(vocabulary), "word", "left_anti").groupBy(shape_column(F.col("word")).cast("int").alias("s")).agg(F.sum("c").alias("n"), F.count("c").alias("v")).collect()
     mass, kinds = np.zeros(LENGTHS * SCRIPTS), np.zeros(LENGTHS * SCRIPTS)
     for r in shapes:
         mass[r.s], kinds[r.s] = r.n, r.v
-    scorer = Scorer([r.word.encode("utf-8") for r in top], np.array([r.c for r in top], np.int64), total.n or 0, total.v, mass, kinds)
+    scorer.set_shapes(mass, kinds)
     # The sample by a threshold on the hash of the id, so that no task sends texts that aren't taken.
     short = d.filter(F.octet_length("t") <= SAMPLE_BYTES).select(F.xxhash64("i").alias("h"), "t")
     last = short.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
