@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewell.llm.common import cut
+
 BLOCK = 4096
 
 
@@ -95,4 +97,5 @@ def quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return suffix_sums(histogram(token_lengths(docs)))
+    """suffix_sums() of the documents; the histogram is read several times and so written once."""
+    return suffix_sums(cut(histogram(token_lengths(docs))))
