@@ -118,3 +118,30 @@ def test_better_than_the_base_on_held_out_documents(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert np.mean([r.score > r.base_score for r in held]) > 0.8
+
+
+def test_a_pass_trains_on_every_token():
+    m = small()
+    m.p = {k: v.astype(np.float32) for k, v in m.p.items()}
+    rng = np.random.default_rng(7)
+    seen = []
+    m.window, plain = lambda part, *a: (seen.extend(part.ravel().tolist()), plain(part, *a))[1], m.window
+    for n in (1, 39, 41, 187, 25_003):
+        seen.clear()
+        ids = rng.integers(0, 13, n)
+        assert m.train_pass([ids], 0) == n and sorted(seen) == sorted(ids.tolist())
+
+
+def test_the_network_learns_from_documents_outside_the_sample(spark, monkeypatch):
+    trained = []
+    plain = lm.train_everywhere
+    monkeypatch.setattr(lm, "train_everywhere", lambda *a: trained.append(plain(*a)))
+    monkeypatch.setattr(lm, "SAMPLE", 5)
+    rng = np.random.default_rng(8)
+    tail = " ".join("ab cd" if k % 2 else "ef gh" for k in range(6000))  # beyond SAMPLE_BYTES: no such pair is in a short document
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"], 30)) if i % 2 else tail) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm.score(docs).collect()
+    assert trained == [got[0].train_tokens]
+    long = [r for r in got if r.n_tokens > 1000 and r.held_out]
+    assert long and all(r.score > 0.8 * r.base_score for r in long)

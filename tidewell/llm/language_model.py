@@ -8,8 +8,11 @@ mass; all others into classes by length and script, within which a word has its
 share of the class's training count. So every text has a proper probability.
 
 The network is trained in numpy by truncated backpropagation through windows of `WINDOW` tokens, the
-state carried on from window to window, on at most `SAMPLE` training documents of at most
-`SAMPLE_BYTES` bytes (in the order of a hash of their ids); all counts cover all training documents.
+state carried on from window to window. The driver gives it a start on at most `SAMPLE` training documents
+of at most `SAMPLE_BYTES` bytes (in the order of a hash of their ids). From there every partition makes one pass
+over all tokens of all its training documents, of any length, and the partitions' parameters are averaged by
+their tokens. So the network, like the counts, learns from the whole fold; scores vary a little with how rows
+are dealt to partitions.
 Scoring runs over whole texts: batches of documents advance together, window by window, each with its
 own state from its first token to its end.
 
@@ -22,7 +25,9 @@ rows give repeated rows. An empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +41,11 @@ VOCABULARY, CLASSES, HIDDEN = 2048, 32, 16
 KNOWN = 1 << 17
 SAMPLE, SAMPLE_BYTES = 1200, 20_000
 WINDOW, STREAMS, EPOCHS, RATE = 20, 64, 2, 0.01
+#: The pass over the whole fold: streams at most, steps that come before more streams, first rate, steps after which it has
+#: fallen by sqrt(2), tokens held by a worker.
+PASS_STREAMS, PASS_STEPS, PASS_RATE, PASS_FALL, PASS_TOKENS = 512, 100, 0.004, 100, 2_000_000
+#: Parts in which the partitions' parameters meet.
+SLICES = 16
 #: Distinct words that a counting worker holds, and tokens that a scoring worker holds, at most.
 FLUSH, BATCH_TOKENS = 400_000, 3_000_000
 #: The end of a document as a word: no word is empty. And the shapes of rarer words.
@@ -89,6 +99,12 @@ def log_sum_exp(x: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(x - m).sum(axis=1, keepdims=True))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    return e
+
+
 class GatedModel:
     """Words 0..n-1 of the vocabulary by class, and shapes after them; input and target ids share that numbering."""
 
@@ -160,6 +176,24 @@ class GatedModel:
                 at += 1
                 self._adam(grads, moments, at, rate * (1 - 0.9 * at / total))
 
+    def train_pass(self, streams: Iterable[np.ndarray], end: int) -> int:
+        """One pass over every id of the streams, each being documents laid end to end; the number of ids."""
+        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        at = seen = 0
+        for stream in streams:
+            b = min(PASS_STREAMS, max(1, len(stream) // (PASS_STEPS * WINDOW)))
+            rows, over = divmod(len(stream), b)
+            starts = np.arange(b) * rows + np.minimum(np.arange(b), over)
+            h, last = np.zeros((b, self.hidden), np.float32), np.full(b, end)
+            for s in [*range(0, rows, WINDOW), *([rows] if over else [])]:
+                n = b if s < rows else over  # the first streams are one id longer
+                part = stream[starts[:n] + np.arange(s, min(s + WINDOW, rows) if s < rows else rows + 1)[:, None]]
+                grads, h, last = self.window(part, last[:n], h[:n], end)
+                at += 1
+                seen += part.size
+                self._adam(grads, moments, at, PASS_RATE / np.sqrt(1 + at / PASS_FALL))
+        return seen
+
     def window(self, part: np.ndarray, last: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray, np.ndarray]:
         """(gradients of the mean negative log-probability, state, last ids) of one window; rows of part are time."""
         p, k, n = self.p, self.hidden, part.size
@@ -174,7 +208,7 @@ class GatedModel:
         top, ids = np.concatenate(states), part.ravel()
         g = {name: np.zeros_like(v) for name, v in p.items()}
         logits = top @ p["wc"] + p["bc"]
-        d = np.exp(logits - log_sum_exp(logits))
+        d = softmax(logits)
         cls = self.target_class(ids)
         d[np.arange(n), cls] -= 1
         d /= n
@@ -186,14 +220,14 @@ class GatedModel:
                 continue
             rows = np.flatnonzero(cls == j)
             inner = top[rows] @ p["ww"][:, lo:hi] + p["bw"][lo:hi]
-            e = np.exp(inner - log_sum_exp(inner))
+            e = softmax(inner)
             e[np.arange(len(rows)), ids[rows] - lo] -= 1
             e /= n
             g["ww"][:, lo:hi] = top[rows].T @ e
             g["bw"][lo:hi] = e.sum(axis=0)
             dtop[rows] += e @ p["ww"][:, lo:hi].T
         dtop = dtop.reshape(len(part), -1, k)
-        carry = np.zeros_like(h)
+        carry, met = np.zeros_like(h), []
         for t in range(len(part) - 1, -1, -1):
             before, h0, z, r, c, a, start = cache[t]
             dh = dtop[t] + carry
@@ -202,11 +236,15 @@ class GatedModel:
             dr = dn * a * r * (1 - r)
             gates = np.concatenate([dz, dr, dn], axis=1)
             inner = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(g["x"], before, gates)
-            g["b"] += gates.sum(axis=0)
+            met.append((before, gates))
             g["u"] += h0.T @ inner
             carry = dh * z + inner @ p["u"].T
             carry[start] = 0
+        before, gates = (np.concatenate(x) for x in zip(*met, strict=True))
+        order = np.argsort(before, kind="stable")
+        own, starts = np.unique(before[order], return_index=True)
+        g["x"][own] = np.add.reduceat(gates[order], starts, axis=0)
+        g["b"] += gates.sum(axis=0)
         return g, h, last
 
     def _adam(self, grads: dict, moments: dict, at: int, rate: float) -> None:
@@ -305,6 +343,54 @@ class Scorer:
         return lens, n_known, base, score, others
 
 
+def train_everywhere(scorer: Scorer, texts: DataFrame) -> int:
+    """Trains the scorer's network on all rows of texts(t), per partition from the same start, and averages; the number of tokens trained on."""
+    sc = texts.sparkSession.sparkContext.broadcast(scorer)
+
+    def streams(batches):
+        held, load = [], 0
+        for b in batches:
+            for t in b.column(0):
+                held.append(sc.value.stream([t.as_py()]))
+                load += len(held[-1])
+                if load >= PASS_TOKENS:
+                    yield np.concatenate(held)
+                    held, load = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = copy.copy(sc.value.model)
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        if n := model.train_pass(streams(batches), sc.value.end):
+            slices = [x.tobytes() for x in np.array_split(np.concatenate([v.ravel() for v in model.p.values()]), SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(slices, pa.binary())], names=["k", "n", "w"])
+
+    def total(batches):
+        import pyarrow as pa
+
+        n, held = {}, {}
+        for b in batches:
+            for r in b.to_pylist():
+                n[r["k"]] = n.get(r["k"], 0) + r["n"]
+                held[r["k"]] = held.get(r["k"], 0.0) + np.frombuffer(r["w"], np.float32) * np.float64(r["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([*n.values()], pa.int64()), pa.array([(v / n[k]).astype(np.float32).tobytes() for k, v in held.items()], pa.binary())], names=["k", "n", "w"])
+
+    # Slices of the parameters meet, so no task holds a model per partition and the driver gets one model.
+    trained = texts.select("t").mapInArrow(run, "k int, n bigint, w binary")
+    found = sorted(trained.repartition(SLICES, "k").mapInArrow(total, "k int, n bigint, w binary").collect())
+    sc.unpersist()
+    if not found:
+        return 0
+    mean, at = np.concatenate([np.frombuffer(r.w, np.float32) for r in found]), 0
+    for k, v in scorer.model.p.items():
+        scorer.model.p[k] = mean[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return found[0].n
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Scorer, DataFrame]:
     """A scorer learnt from the training fold, and the fold's (word, c)."""
     d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(~held_out(F.col("i"), FOLDS, FOLD))
@@ -327,12 +413,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tupl
     for r in shapes:
         mass[r.s], kinds[r.s] = r.n, r.v
     scorer.set_shapes(mass, kinds)
-    # The sample by a threshold on the hash of the id, so that no task sends texts that aren't taken.
+    # The start's sample by a threshold on the hash of the id, so that no task sends texts that aren't taken.
     short = d.filter(F.octet_length("t") <= SAMPLE_BYTES).select(F.xxhash64("i").alias("h"), "t")
     last = short.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     if last is not None:
         texts = [r.t for r in short.filter(F.col("h") <= last).orderBy("h", "t").limit(SAMPLE).collect()]
         scorer.model.train(scorer.stream(texts), scorer.end)
+    train_everywhere(scorer, d)
     return scorer, counts
 
 
