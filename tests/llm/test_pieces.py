@@ -93,3 +93,43 @@ def test_whole_corpus_equals_the_library(spark, sf_small, library):
     for r in docs:
         ids = library.encode(r.text or "", add_eos=True)
         assert got[r.doc_id] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
+def brute_spans(model, text):
+    """Each piece's bytes in normalise()'s text, looked up in its alignment one by one."""
+    normal, source = model.normalise(text)
+    data, at, left, out = normal.encode(), 0, 0, []
+    for k in model.encode(text)[0][:-1]:
+        if model.types[k] == pieces.BYTE:
+            if not left:
+                width = left = len(data[at:].decode()[0].encode())
+            left -= 1
+            out.append((source[at], source[at + width]))
+            at += 0 if left else width
+        else:
+            width = len(model.pieces[k].encode())
+            out.append((source[at], source[at + width]))
+            at += width
+    assert at == len(data)
+    return [*out, (source[-1], source[-1])]
+
+
+def spans_digest(spans):
+    return hashlib.sha256(b"".join(x.to_bytes(4, "little") for span in spans for x in span)).hexdigest()
+
+
+@pytest.mark.parametrize("text", HARD)
+def test_spans_of_hard_texts(model, text):
+    normal, source = model.aligned(text)
+    assert (normal, source.tolist()) == model.normalise(text)
+    want = brute_spans(model, text)
+    assert list(zip(*model.encode(text)[1:], strict=True)) == want
+    assert model.digests(text)[3] == spans_digest(want)
+
+
+def test_the_query_gives_the_spans(spark, sf_small, model):
+    from tidewell.llm.registry import QUERIES
+
+    got = {r.doc_id: r.spans_sha256 for r in QUERIES["op10_piece_codec"](spark, sf_small).collect()}
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    assert all(got[r.doc_id] == spans_digest(brute_spans(model, r.text or "")) for r in docs)

@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterable, Iterator
 from operator import itemgetter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,10 +191,21 @@ class PieceModel:
         n = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return n, data[i : i + n]
 
-    def _normal_text(self, text: str) -> str:
+    def aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """What normalise() gives, the sources as an array; where only spaces change, all bytes are aligned at once."""
         if not self.plain:
-            return self.normalise(text)[0]
-        return (MARK * self.dummy_prefix + text.replace(" ", MARK)) if text else ""
+            normal, source = self.normalise(text)
+            return normal, np.array(source, np.int32)
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        if not len(data):
+            return "", np.zeros(1, np.int32)
+        mark = len(MARK.encode("utf-8"))
+        start = np.arange(len(data), dtype=np.int32)
+        if not text.isascii():
+            start = np.maximum.accumulate(np.where((data & 0xC0) == 0x80, np.int32(0), start))
+        source = np.repeat(start, np.where(data == 0x20, mark, 1))
+        lead = np.zeros(mark * self.dummy_prefix, np.int32)
+        return MARK * self.dummy_prefix + text.replace(" ", MARK), np.concatenate([lead, source, np.array([len(data)], np.int32)])
 
     # -- encoding -----------------------------------------------------------------------------
 
@@ -205,8 +217,27 @@ class PieceModel:
             self._inner = sentencepiece.SentencePieceProcessor(model_proto=self.inner_proto)
         return self._inner
 
-    def lookup(self, segments: list[str]) -> list[tuple[int, bytes, bytes, tuple[int, ...]]]:
-        """For each segment: number of ids, ids as decimal text, decoded bytes, ids."""
+    def within(self, segment: str, ids: list[int]) -> tuple[bytes, bytes, int]:
+        """Where each piece begins and ends in the segment's bytes, as 32-bit integers, and the number of those bytes."""
+        data = segment.encode("utf-8")
+        surface = self.inner.encode(segment, out_type=str) if any(self.types[k] == UNKNOWN for k in ids) else None
+        begin, end, at, left = [], [], 0, 0
+        for i, k in enumerate(ids):
+            if self.types[k] == BYTE:
+                if not left:  # bytes of a fallback character that are still to come
+                    lead = data[at]
+                    width = left = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                left -= 1
+                step = 0 if left else width
+            else:
+                step = width = len((surface[i] if self.types[k] == UNKNOWN else self.pieces[k]).encode("utf-8"))
+            begin.append(at)
+            end.append(at + width)
+            at += step
+        return np.array(begin, np.int32).tobytes(), np.array(end, np.int32).tobytes(), len(data)
+
+    def lookup(self, segments: list[str]) -> list[tuple[int, bytes, bytes, tuple[int, ...], bytes, bytes, int]]:
+        """For each segment: number of ids, ids as decimal text, decoded bytes, ids, and what within() gives."""
         cache = self._cache
         try:
             return [cache[s] for s in segments]
@@ -215,53 +246,43 @@ class PieceModel:
         new = list(dict.fromkeys(s for s in segments if s not in cache))
         fresh = {}
         for s, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
-            fresh[s] = (len(ids), " ".join(map(str, ids)).encode(), self.decode_bytes(ids), tuple(ids))
+            fresh[s] = (len(ids), " ".join(map(str, ids)).encode(), self.decode_bytes(ids), tuple(ids), *self.within(s, ids))
         out = [fresh[s] if s in fresh else cache[s] for s in segments]
         if len(cache) + len(fresh) > CACHE_SEGMENTS:
             cache.clear()
         cache.update((s, e) for s, e in fresh.items() if len(s) <= CACHE_CHARS)
         return out
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text."""
-        found = self.lookup(self.segments.findall(self._normal_text(text or "")))
+    def spans(self, text: str) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """The text's segments as lookup() gives them, and the first and the past-the-last original byte of each id's span."""
+        normal, source = self.aligned(text)
+        found = self.lookup(self.segments.findall(normal))
+        widths = np.array([e[6] for e in found], np.int64)
+        base = np.repeat(np.cumsum(widths) - widths, np.array([e[0] for e in found], np.int64))
+        last = source[-1:] if self.end_id is not None else source[:0]
+        begin, end = (np.concatenate([source[base + np.frombuffer(b"".join([e[k] for e in found]), np.int32)], last]) for k in (4, 5))
+        return found, begin, end
+
+    def digests(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids with the end id; SHA-256 of the ids, of the decoded text, and of the spans (first and past-the-last byte of each id in turn, 32-bit little-endian)."""
+        found, begin, end = self.spans(text or "")
         ids = [e[1] for e in found] + ([b"%d" % self.end_id] if self.end_id is not None else [])
         decoded = self.finish(b"".join([e[2] for e in found]))
-        return sum(map(itemgetter(0), found)) + (self.end_id is not None), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        spans = np.stack([begin, end], axis=1).astype("<i4").tobytes()
+        return sum(map(itemgetter(0), found)) + (self.end_id is not None), *(hashlib.sha256(x).hexdigest() for x in (b" ".join(ids), decoded, spans))
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text."""
+        return self.digests(text)[:3]
 
     def encode(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
         """Ids with the end id, and the first and the past-the-last original byte of each piece's span.
 
         The pieces of a byte-fallback character share its span; the end id's span is empty.
         """
-        normal, source = self.normalise(text or "")
-        ids: list[int] = []
-        begin: list[int] = []
-        end: list[int] = []
-        at = 0
-        data = normal.encode("utf-8")
-        for _, _, _, own in self.lookup(self.segments.findall(normal)):
-            left = 0  # bytes of a fallback character that are still to come
-            for k in own:
-                if self.types[k] == BYTE:
-                    if not left:
-                        lead = data[at]
-                        width = left = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                    span = (source[at], source[at + width])
-                    left -= 1
-                    at += 0 if left else width
-                else:
-                    width = len(self.pieces[k].encode("utf-8")) if self.types[k] != UNKNOWN else len(normal.encode("utf-8")) - at
-                    span = (source[at], source[at + width])
-                    at += width
-                ids.append(k)
-                begin.append(span[0])
-                end.append(span[1])
-        if self.end_id is not None:
-            ids.append(self.end_id)
-            begin.append(source[-1])
-            end.append(source[-1])
-        return ids, begin, end
+        found, begin, end = self.spans(text or "")
+        ids = [k for e in found for k in e[3]] + ([self.end_id] if self.end_id is not None else [])
+        return ids, begin.tolist(), end.tolist()
 
     # -- decoding -----------------------------------------------------------------------------
 
@@ -345,15 +366,15 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None, id_col:
 
 
 def digest_documents(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256 and decoded_sha256, in one pass that never holds a document's ids as rows."""
+    """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256 (of the pieces' original byte spans), in one pass that never holds a document's ids as rows."""
     model = _model(model_path)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [model.digest(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [model.digests(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
