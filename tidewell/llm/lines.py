@@ -1,15 +1,12 @@
 """Line dedup by a log-template tree of fixed depth, in built-in functions only.
 
 A line is parsed down the tree by its number of tokens and its first `LEADING` tokens; runs of digits
-have become <*> before that. Below, a leaf holds the line's template in full and three generalised
-ones, in each of which one third of the remaining tokens is a variable field. A template recurs if
-lines of two or more documents share it. The document with the least id keeps a recurring
-template's lines; in the others every line that belongs to one is dropped. Short lines
-(under `MIN_TOKENS` tokens) are never dropped, and those under `GENERALISE_FROM` tokens have only
-their template in full.
-
-A document that would lose more than half of its characters is a copy of another rather than a
-carrier of boilerplate. It is left whole and marked is_copy: near-dedup is for that.
+have become <*> before that. Below, a leaf holds the line's template in full and up to three generalised
+ones, in each of which one third of the remaining tokens (at least one token) is a variable field; a line of
+up to `LEADING` tokens has nothing left to vary. A template recurs if lines of two or more documents share it.
+The document with the least id keeps a recurring template's lines; in the others every line that belongs to
+one is dropped, whatever the line's length and whatever share of the document that is. A later copy of a
+document thus ends up empty. Lines without tokens have no template and stay, unless nothing else does.
 
 Documents are told apart by id; null ids count as one document that comes last. Rows with one id and
 text get the same result. Null text stays null and has no lines; empty text has one empty line.
@@ -21,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import fresh, q
+
 LEADING = 3
-MIN_TOKENS = 4
-GENERALISE_FROM = 8
 PARTS = 3
-COPY_SHARE = 0.5
 SPACE = r"[\x20\t\r\x0B\x0C]+"
 LAST = (1 << 63) - 1
 
@@ -38,68 +34,68 @@ def _tokens(line: Column) -> Column:
 def _keys(t: Column) -> Column:
     """array of (k1, k2): the line's templates, each as a 128-bit hash of its fixed tokens and its shape."""
     n = F.size(t)
-    rest = n - LEADING
+    rest = F.greatest(n - LEADING, F.lit(0))
     at = [F.floor(rest * F.lit(i) / PARTS).cast("int") + LEADING for i in range(PARTS + 1)]
     both = lambda *x: F.struct(F.xxhash64(*x).alias("k1"), F.xxhash64(F.lit("second"), *x).alias("k2"))
     full = both(F.lit(-1), n, t)
-    general = [both(F.lit(i), n, F.slice(t, 1, at[i]), F.slice(t, at[i + 1] + 1, n)) for i in range(PARTS)]
-    return F.when(n >= GENERALISE_FROM, F.array(full, *general)).otherwise(F.array(full))
+    general = [F.when(at[i + 1] > at[i], both(F.lit(i), n, F.slice(t, 1, at[i]), F.slice(t, at[i + 1] + 1, n))) for i in range(PARTS)]
+    return F.when(n > LEADING, F.array_compact(F.array(full, *general))).otherwise(F.array(full))
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("h"), text.alias("t"))
+    text = q(text_col).cast("string")
+    return docs.select(F.struct("*").alias("row"), F.coalesce(q(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("h"), text.alias("t"))
 
 
 def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(o, h, no, len, k1, k2): a row for every template of every line that is long enough."""
+    """(o, h, no, k1, k2): a row for every template of every line that has tokens."""
     lines = _located(docs, id_col, text_col).select("o", "h", F.posexplode(F.split("t", "\n")).alias("no", "line"))
-    tokens = lines.select("o", "h", "no", F.length("line").alias("len"), _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    return tokens.select("o", "h", "no", "len", F.explode(_keys(F.col("tokens"))).alias("k")).select("o", "h", "no", "len", "k.k1", "k.k2")
+    tokens = lines.select("o", "h", "no", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
+    return tokens.select("o", "h", "no", F.explode(_keys(F.col("tokens"))).alias("k")).select("o", "h", "no", "k.k1", "k.k2")
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(o, h, gone: array of line numbers, lost: their characters with line feeds) for documents with recurring lines."""
+    """(o, h, gone: array of distinct line numbers) for documents with recurring lines."""
     keyed = template_lines(docs, id_col, text_col)
     recurring = keyed.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last").drop("last")
-    hit = keyed.join(recurring, ["k1", "k2"]).filter("o > first").select("o", "h", "no", "len").distinct()
-    return hit.groupBy("o", "h").agg(F.collect_list("no").alias("gone"), F.sum(F.col("len") + 1).alias("lost"))
+    hit = keyed.join(recurring, ["k1", "k2"]).filter("o > first").select("o", "h", "no").distinct()
+    return hit.groupBy("o", "h").agg(F.collect_list("no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with recurring lines dropped from the text; adds __lines = (n_lines, n_dropped, is_copy)."""
+    """docs with recurring lines dropped from the text; adds a last column of (n_lines, n_dropped), __lines unless docs has one of that name."""
     gone = dropped_lines(docs, id_col, text_col).withColumnsRenamed({"o": "o2", "h": "h2"})
     d = _located(docs, id_col, text_col)
     both = d.join(gone, (d.o == gone.o2) & d.h.eqNullSafe(gone.h2), "left")
-    copy = F.coalesce(F.col("lost") > (F.length("t") + 1) * COPY_SHARE, F.lit(False))
-    edit = F.col("gone").isNotNull() & ~copy
-    lines = F.split("t", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    facts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(edit, F.size("gone")).otherwise(0).cast("long").alias("n_dropped"), copy.alias("is_copy"))
+    edit = F.col("gone").isNotNull()
+    both = both.withColumn("lines", F.split("t", "\n"))
+    # By position: array_except hashes, so the work is linear in the lines of a document.
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    facts = F.struct(F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.when(edit, F.size("gone")).otherwise(0).cast("long").alias("n_dropped"))
     return both.select("row", F.when(edit, kept).otherwise(F.col("t")).alias("t"), facts.alias("facts")).select(
-        *[F.col("t").alias(text_col) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], F.col("facts").alias("__lines"),
+        *[(F.col("t") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns], F.col("facts").alias(fresh(docs, "__lines")),
     )
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, is_copy and the remaining text's SHA-256 (null for a null text)."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "__lines.n_lines", "__lines.n_dropped", "__lines.is_copy", F.sha2("text", 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_dropped and the remaining text's SHA-256 (null for a null text)."""
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, text, coalesce(doc_id, {LAST}) AS o FROM documents),
 s AS (SELECT doc_id, o, text, string_split(text, chr(10)) AS ls FROM d),
 l AS (SELECT o, text, ls, unnest(range(1, len(ls) + 1)) AS no FROM s),
-t AS (SELECT o, text, no, length(ls[no]) AS n_chars, list_filter(string_split_regex(regexp_replace(ls[no], '[0-9]+', '<*>', 'g'), '{SPACE}'), lambda x: x <> '') AS t FROM l),
-u AS (SELECT *, len(t) AS n FROM t WHERE len(t) >= {MIN_TOKENS}),
-k AS (SELECT o, text, no, n_chars, 'full ' || n || ' ' || array_to_string(t, ' ') AS k FROM u
-      UNION ALL SELECT o, text, no, n_chars, i || ' ' || n || ' ' || array_to_string(t[1:{LEADING} + ((n - {LEADING}) * i // {PARTS})], ' ') || '|' || array_to_string(t[{LEADING} + ((n - {LEADING}) * (i + 1) // {PARTS}) + 1:], ' ')
-      FROM u, (SELECT unnest(range(0, {PARTS})) AS i) WHERE n >= {GENERALISE_FROM}),
+t AS (SELECT o, text, no, list_filter(string_split_regex(regexp_replace(ls[no], '[0-9]+', '<*>', 'g'), '{SPACE}'), lambda x: x <> '') AS t FROM l),
+u AS (SELECT *, len(t) AS n FROM t WHERE len(t) > 0),
+v AS (SELECT o, text, no, t, n, i, {LEADING} + ((n - {LEADING}) * i // {PARTS}) AS a, {LEADING} + ((n - {LEADING}) * (i + 1) // {PARTS}) AS b FROM u, (SELECT unnest(range(0, {PARTS})) AS i) WHERE n > {LEADING}),
+k AS (SELECT o, text, no, 'full ' || n || ' ' || array_to_string(t, ' ') AS k FROM u
+      UNION ALL SELECT o, text, no, i || ' ' || n || ' ' || array_to_string(t[1:a], ' ') || '|' || array_to_string(t[b + 1:], ' ') FROM v WHERE b > a),
 r AS (SELECT k, min(o) AS first FROM k GROUP BY k HAVING min(o) < max(o)),
-g AS (SELECT DISTINCT k.o, k.text, k.no, k.n_chars FROM k JOIN r USING (k) WHERE k.o > r.first),
-c AS (SELECT o, text, count(*) AS gone, sum(n_chars + 1) AS lost, list(no) AS nos FROM g GROUP BY o, text),
-j AS (SELECT s.doc_id, s.text, s.ls, gone, nos, coalesce(lost > (length(s.text) + 1) * {COPY_SHARE}, false) AS is_copy FROM s LEFT JOIN c ON s.o = c.o AND s.text = c.text)
-SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, CASE WHEN is_copy THEN 0 ELSE coalesce(gone, 0) END::BIGINT AS n_dropped, is_copy,
-       sha256(CASE WHEN is_copy OR gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nos, i)), chr(10)) END) AS kept_sha256
-FROM j
+g AS (SELECT DISTINCT k.o, k.text, k.no FROM k JOIN r USING (k) WHERE k.o > r.first),
+c AS (SELECT o, text, count(*) AS gone, list(no) AS nos FROM g GROUP BY o, text)
+SELECT s.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_dropped,
+       sha256(CASE WHEN gone IS NULL THEN s.text ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nos, i)), chr(10)) END) AS kept_sha256
+FROM s LEFT JOIN c ON s.o = c.o AND s.text = c.text
 """
