@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import pytest
+
 from tidewell.llm import decontam
 
 
@@ -63,6 +66,33 @@ def test_proximity(spark):
     assert m.filter("not exact").count() == 2 and m.filter("exact").count() == 0
 
 
+@pytest.mark.parametrize("slop", [1, 3])
+def test_near_against_brute_force(spark, slop):
+    """Every start is tried for every window; rarer and commoner words, ties of rarity and repeated words included."""
+    rng = random.Random(slop)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((3, 40, 300))))) for i in range(30)] + [(30, None), (31, "")]
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 6, 7))]
+
+    def near(w, phrase):
+        return any(all(phrase[j] in w[max(s + j - slop, 0) : max(s + j + slop + 1, 0)] for j in range(len(phrase))) for s in range(-slop, len(w) + slop))
+
+    got = {r.doc_id: r for r in decontam.contamination(*frames(spark, docs, items), width=5, slop=slop).collect()}
+    for row, want in zip(sorted(got.values(), key=lambda r: str(r.doc_id)), brute(docs, items, 5), strict=True):
+        assert tuple(row)[:6] == want
+    for i, t in docs:
+        w = (t or "").split()
+        assert got[i].n_near == sum(any(near(w, x.split()[s : s + 5]) for s in range(max(1, len(x.split()) - 4))) for _, x in items)
+
+
+def test_very_long_text_and_ties(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    docs = [(1, long), (2, f"{long} {ITEM}"), (3, "w1 w2"), (4, ITEM)]
+    items = [(1, ITEM), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15"), (3, "w9 w8 w7 w6 w5 w4 w3 w2 w1 w0")]
+    got = rows(decontam.contamination(*frames(spark, docs, items)))
+    times = sum(i % 977 == 5 for i in range(300_000 - 10))
+    assert [x[2] for x in got] == [11 * times, 11 * times + 12, 0, 12] and [x[3] for x in got] == [1, 2, 0, 1]
+
+
 def test_corpus(spark, sf_small):
     d, b = (spark.read.parquet(f"{sf_small}/{t}.parquet") for t in ("documents", "benchmark"))
     want = brute([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in b.collect()])

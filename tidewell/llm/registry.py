@@ -39,7 +39,7 @@ def op8_secret_scan(spark, sf_dir):
 
 
 def op9_decontamination(spark, sf_dir):
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontam.NEAR)
 
 
 def op10_piece_codec(spark, sf_dir):
