@@ -170,8 +170,9 @@ dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS p FROM di),
 m AS (SELECT DISTINCT dw.doc_id, dw.s, dw.n, bw.item_id FROM dw JOIN bw ON dw.p = bw.p AND dw.n = bw.n),
 hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS spot FROM m) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id),
-ps AS (SELECT p, string_split(p, ' ') AS ws FROM (SELECT DISTINCT p FROM bw)),
-ca AS (SELECT doc_id, p, ws, w FROM d, ps WHERE list_has_all(w, ws)),
+ps AS (SELECT p, ws, list_reduce(ws, lambda x, y: CASE WHEN len(y) > len(x) THEN y ELSE x END) AS longest FROM (SELECT DISTINCT p, string_split(p, ' ') AS ws FROM bw)),
+dd AS (SELECT doc_id, w, unnest(list_distinct(w)) AS longest FROM d),
+ca AS (SELECT doc_id, p, ws, w FROM dd JOIN ps USING (longest) WHERE list_has_all(w, ws)),
 st AS (SELECT doc_id, p, ws, w, unnest(range(-1, len(w) + 1)) AS s FROM ca),
 ne AS (SELECT DISTINCT doc_id, p FROM st WHERE list_bool_and(list_transform(range(1, len(ws) + 1), lambda j: list_contains(w[greatest(s + j - 1, 1):s + j + 1], ws[j])))),
 nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM ne JOIN bw USING (p) GROUP BY doc_id)
