@@ -35,16 +35,48 @@ def test_texts(spark):
     assert secrets.report(secrets.scan(docs.limit(0))).count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    versions = docs.selectExpr("sha2(coalesce(text, ''), 256) as blob", "coalesce(text, '') as text")
-    first = secrets.scan_new(versions.limit(6)).cache()
-    rest = secrets.scan_new(versions, first)
-    assert rest.join(first, "blob").count() == 0
-    assert rest.count() + first.count() == versions.select("blob").distinct().count()
-    check(secrets.report(secrets.scan(docs, first)).collect(), list(enumerate(TEXTS)))
-    # findings under another rule version aren't trusted
-    assert secrets.scan_new(versions, first, rule_version="2").count() == versions.select("blob").distinct().count()
+    blobs = secrets.versions(docs)
+    first = secrets.scan_new(blobs.limit(6)).cache()
+    rest = secrets.scan_new(blobs, first)
+    distinct = blobs.select("blob").distinct().count()
+    assert rest.join(first, "blob").count() == 0 and rest.count() + first.count() == distinct
+    path = str(tmp_path / "ledger")
+    secrets.append(path, first)
+    secrets.update(docs, path)
+    ledger = secrets.read_ledger(spark, path)
+    assert ledger.count() == distinct
+    check(secrets.report(secrets.lookup(docs, ledger)).collect(), list(enumerate(TEXTS)))
+    secrets.update(docs, path)
+    assert ledger.count() == secrets.read_ledger(spark, path).count() == distinct
+    # a row of an unscanned blob has null findings
+    assert secrets.lookup(docs, secrets.empty_ledger(spark)).filter("findings is null").count() == len(TEXTS)
+
+
+def test_a_blob_twice_in_the_ledger(spark, tmp_path):
+    docs = spark.createDataFrame([(1, TEXTS[2]), (2, TEXTS[2]), (3, "")], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    rows = secrets.scan_new(secrets.versions(docs))
+    secrets.append(path, rows)
+    secrets.append(path, rows)
+    check(secrets.report(secrets.lookup(docs, secrets.read_ledger(spark, path))).collect(), [(1, TEXTS[2]), (2, TEXTS[2]), (3, "")])
+
+
+def test_other_rules_are_another_version(spark, tmp_path):
+    text = "gh" + "p_" + "z1" * 20 + " shh=0123456789"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    rules = (*secrets.BASE, secrets.Rule("shh", r"(shh=)([0-9]+)", 4, "shh"))
+    got = {secrets.report(secrets.scan(docs, path, r), r).first().spans for r in (secrets.BASE, rules, secrets.RULES)}
+    assert got == {"", "shh:45:59", "forge:0:44"}
+    ledger = secrets.read_ledger(spark, path)
+    assert ledger.count() == ledger.select("rule_version").distinct().count() == 3
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    text = "".join(f"x{i} token=abcdefgh{i:06d}, é {i:016x} key " for i in range(20_000))
+    check(secrets.report(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect(), [(1, text)])
 
 
 def test_corpus(spark, sf_small):

@@ -1,10 +1,11 @@
 """Secret scans over an incremental blob ledger, in built-in functions only.
 
 Every version of a text is addressed by the SHA-256 of its content. The ledger is a table of
-(blob, rule_version, findings); a scan looks only at pairs of blob and rule version that the ledger
-lacks, each distinct blob once however many paths or versions hold it, appends them, and joins the
-findings back to all paths. A blob's findings are stored as one array, empty ones included, so that
-a clean blob isn't scanned again either.
+(blob, rule_version, findings) in a folder; a scan looks only at pairs of blob and rule version that the ledger
+lacks, each distinct blob once however many paths or versions hold it, appends them, and findings are
+joined back to all paths from there. A blob's findings are stored as one array, empty ones included, so that
+a clean blob isn't scanned again either. The rule version is derived from the rules themselves. Two writers
+or a repeated append may leave a pair twice: reading collapses them, as equal pairs have equal findings.
 
 A finding is (kind, start, end) in code points, end exclusive. Rules match leftmost and without
 overlap; a match whose value is too short is dropped after it has consumed its text. Positions come
@@ -17,12 +18,15 @@ the id and the text aren't read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.common import held_out, let, new_path, prefix_sums, q
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,27 +52,28 @@ EXTRA = (
     Rule("forge", r"()(gh[pousr]_[A-Za-z0-9]+)", 40, "gh[pousr]_"),
 )
 RULES = BASE + EXTRA
-RULE_VERSION = "1"
 
 FINDING = "struct<start:int,rank:int,end:int>"
-LEDGER = f"blob string, rule_version string, findings array<{FINDING}>"
+LEDGER = f"blob string, findings array<{FINDING}>, rule_version string"
+#: Increments in which the query's documents reach its ledger.
+INCREMENTS = 2
+
+
+def version(rules: tuple[Rule, ...]) -> str:
+    """The rules' own version: any change of a rule or of their order is another one."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]
 
 
 def _matches(text: Column, rule: Rule, rank: int) -> Column:
     """array of (start, rank, end) of one rule."""
     none = F.array().cast(T.ArrayType(T._parse_datatype_string(FINDING)))
     parts = F.split(F.regexp_replace(text, rule.pattern, "\x01$1\x02$2\x01"), "\x01")
-    # Odd parts (from 0) are matches; "at" runs over the lengths, less the mark inside each match.
-    seed = F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        inside = acc["k"] % 2 == 1
-        end = acc["at"] + F.length(part) - F.when(inside, 1).otherwise(0)
-        value = F.length(part) - F.instr(part, "\x02")
-        found = F.array(F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct((acc["k"] + 1).alias("k"), end.alias("at"), F.when(inside & (value >= rule.at_least), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(F.rlike(text, F.lit(rule.needs)), F.aggregate(parts, seed, step, lambda acc: acc["out"])).otherwise(none)
+    # Odd parts (from 0) are matches, each with one mark inside.
+    places = lambda p: prefix_sums(F.transform(p, lambda x, k: F.length(x) - F.pmod(k, F.lit(2))))
+    both = let(parts, lambda p: F.zip_with(p, places(p), lambda x, at: F.struct(x.alias("x"), at.cast("int").alias("at"))))
+    long = F.filter(both, lambda y, k: (F.pmod(k, F.lit(2)) == 1) & (F.length(y["x"]) - F.instr(y["x"], "\x02") >= rule.at_least))
+    found = F.transform(long, lambda y: F.struct(y["at"].alias("start"), F.lit(rank).alias("rank"), (y["at"] + F.length(y["x"]) - 1).alias("end")))
+    return F.when(F.rlike(text, F.lit(rule.needs)), found).otherwise(none)
 
 
 def findings(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -80,27 +85,61 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """The ledger's new rows for (blob, text) versions; equal blobs are brought together before they are scanned.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All (blob, findings, rule_version) rows that were appended at path."""
+    return spark.read.schema(LEDGER).parquet(path)
 
-    A caller that keeps a ledger appends the result to its table, partitioned by rule_version.
-    """
-    unseen = versions
-    if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return unseen.groupBy("blob").agg(F.first("text").alias("text")).select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("findings"))
+
+def append(path: str, rows: DataFrame) -> None:
+    rows.select("blob", "findings", "rule_version").write.mode("append").partitionBy("rule_version").parquet(path)
+
+
+def known(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) under these rules, each blob once."""
+    return ledger.filter(F.col("rule_version") == version(rules)).groupBy("blob").agg(F.first("findings").alias("findings"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob, findings) for every row of docs, from the ledger where it knows the blob and from a scan where it doesn't."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    versions = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
-    known = scan_new(versions.select("blob", "text"), ledger, rules, rule_version)
+def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, text) for every row."""
+    text = F.coalesce(q(text_col).cast("string"), F.lit(""))
+    return docs.select(q(id_col).alias("doc_id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
+def scan_new(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's new rows for (blob, text); equal blobs are brought together before they are scanned."""
+    unseen = blobs.select("blob", "text")
     if ledger is not None:
-        known = known.unionByName(ledger.filter(F.col("rule_version") == rule_version).select("blob", "rule_version", "findings"))
-    # Clean blobs need no way back: only paths of blobs with findings meet a row of theirs.
-    found = known.filter(F.size("findings") > 0).select("blob", "findings")
-    return versions.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
+        unseen = unseen.join(ledger.filter(F.col("rule_version") == version(rules)).select("blob"), "blob", "left_anti")
+    return unseen.groupBy("blob").agg(F.first("text").alias("text")).select("blob", findings(F.col("text"), rules).alias("findings"), F.lit(version(rules)).alias("rule_version"))
+
+
+def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Scans what the ledger at path lacks of docs and appends it there. A new path starts a ledger."""
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = read_ledger(spark, path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    append(path, scan_new(versions(docs, id_col, text_col), old, rules))
+
+
+def lookup(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, findings) for every row of docs, from a ledger that knows its blob (null findings if it doesn't)."""
+    # Clean blobs need no row of findings on the way back, only the proof that they were scanned.
+    found = known(ledger, rules).withColumnRenamed("findings", "f")
+    none = F.array().cast(f"array<{FINDING}>")
+    short = found.select("blob", F.when(F.size("f") > 0, F.col("f")).alias("f"), F.lit(True).alias("scanned"))
+    return versions(docs, id_col, text_col).select("doc_id", "blob").join(short, "blob", "left").select("doc_id", "blob", F.when(F.col("scanned"), F.coalesce("f", none)).alias("findings"))
+
+
+def scan(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES, increments: int = INCREMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, findings) for every row of docs by way of the ledger at path (a new one in the shared folder if None).
+
+    The rows reach the ledger in so many increments, by a hash of their ids; an increment scans only what those before left.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "ledger")
+    for k in range(increments):
+        update(docs.filter(held_out(q(id_col), increments, k)), path, rules, id_col, text_col)
+    return lookup(docs, read_ledger(spark, path), rules, id_col, text_col)
 
 
 def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
