@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import cut, let, prefix_sums
 
 #: What surrounds a turn. Fixed by the format.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
@@ -58,15 +58,10 @@ def _render(turns: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     """array of (start, end): the characters of _render(turns) that are learnt from."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["role"]) + len(OPEN) + len(MIDDLE)
-        end = start + F.length(t["text"]) + len(CLOSE)
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(t["role"] == LEARNT, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    sizes = lambda ts: F.transform(ts, lambda t: F.length(t["role"]) + F.length(t["text"]) + len(OPEN) + len(MIDDLE) + len(CLOSE))
+    placed = let(turns, lambda ts: F.zip_with(ts, prefix_sums(sizes(ts)), lambda t, at: F.struct(t.alias("t"), (at.cast("int") + F.length(t["role"]) + len(OPEN) + len(MIDDLE)).alias("at"))))
+    learnt = F.filter(placed, lambda x: x["t"]["role"] == LEARNT)
+    return F.transform(learnt, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["t"]["text"]) + len(CLOSE)).alias("end")))
 
 
 def format_pairs(convs: DataFrame, pairs: DataFrame) -> DataFrame:
