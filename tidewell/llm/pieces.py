@@ -17,19 +17,21 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import q
+
 #: The mark that stands for a space in pieces. Fixed by the format.
 MARK = "▁"
 #: Piece types of the format. Fixed values.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments a worker keeps; the cache starts afresh when it is full.
-CACHE_SEGMENTS = 250_000
+#: Segments a worker keeps; when the newer half is full, what hasn't been met since the last time goes.
+CACHE_SEGMENTS = 400_000
 #: Longer segments are encoded each time and not kept.
 CACHE_CHARS = 64
 
@@ -136,7 +138,18 @@ class PieceModel:
             self.segments = re.compile(rf"{feed}[^{stop}]*|{MARK}+[^{stop}]*|[^{stop}]+" if feed else rf"{MARK}+[^{stop}]*|[^{stop}]+")
         end = [i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == CONTROL and p == "</s>"]
         self.end_id = end[0] if end else None
-        self._cache: dict[str, tuple[int, bytes, bytes, tuple[int, ...]]] = {}
+        #: Where a piece's bytes don't follow from its id alone: unknown characters of models that don't fall back to bytes.
+        self.inexact = BYTE not in self.types
+        value = [int(p[3:5], 16) if t == BYTE else 0 for p, t in zip(self.pieces, self.types, strict=True)]
+        self.follows = np.array([t == BYTE and 0x80 <= v < 0xC0 for v, t in zip(value, self.types, strict=True)])
+        width = lambda v: 1 if v < 0xC0 else 2 if v < 0xE0 else 3 if v < 0xF0 else 4
+        #: Source bytes that a piece moves on by: of a character that fell back to bytes, its first byte moves by all.
+        self.steps = np.array([(0 if f else width(v)) if t == BYTE else len(p.encode("utf-8")) for p, t, v, f in zip(self.pieces, self.types, value, self.follows, strict=True)], np.int32)
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        #: Ids whose text isn't simply their piece's.
+        self.odd = frozenset(i for i, t in enumerate(self.types) if t in (UNKNOWN, CONTROL, BYTE))
+        self._new: dict[str, tuple] = {}
+        self._old: dict[str, tuple] = {}
         self._inner = None
 
     def __getstate__(self):
@@ -217,59 +230,59 @@ class PieceModel:
             self._inner = sentencepiece.SentencePieceProcessor(model_proto=self.inner_proto)
         return self._inner
 
-    def within(self, segment: str, ids: list[int]) -> tuple[bytes, bytes, int]:
-        """Where each piece begins and ends in the segment's bytes, as 32-bit integers, and the number of those bytes."""
-        data = segment.encode("utf-8")
-        surface = self.inner.encode(segment, out_type=str) if any(self.types[k] == UNKNOWN for k in ids) else None
-        begin, end, at, left = [], [], 0, 0
-        for i, k in enumerate(ids):
-            if self.types[k] == BYTE:
-                if not left:  # bytes of a fallback character that are still to come
-                    lead = data[at]
-                    width = left = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                left -= 1
-                step = 0 if left else width
+    def moves(self, segment: str, ids: list[int]) -> bytes:
+        """Bytes of the segment that each piece moves on by, as 32-bit integers, unknown characters as they stand in it."""
+        surface = self.inner.encode(segment, out_type=str)
+        return array("i", [len(x.encode("utf-8")) for x in surface]).tobytes()
+
+    def lookup(self, segments: list[str]) -> list[tuple[bytes, bytes, bytes, bytes]]:
+        """For each segment: ids as 32-bit integers, ids as decimal text, decoded bytes, and moves() where ids don't tell them."""
+        new, old = self._new, self._old
+        found = list(map(new.get, segments))
+        if None not in found:
+            return found
+        fresh: dict[str, tuple] = {}
+        for s in {s for s, e in zip(segments, found, strict=True) if e is None}:
+            if (e := old.get(s)) is not None:
+                new[s] = e
             else:
-                step = width = len((surface[i] if self.types[k] == UNKNOWN else self.pieces[k]).encode("utf-8"))
-            begin.append(at)
-            end.append(at + width)
-            at += step
-        return np.array(begin, np.int32).tobytes(), np.array(end, np.int32).tobytes(), len(data)
-
-    def lookup(self, segments: list[str]) -> list[tuple[int, bytes, bytes, tuple[int, ...], bytes, bytes, int]]:
-        """For each segment: number of ids, ids as decimal text, decoded bytes, ids, and what within() gives."""
-        cache = self._cache
-        try:
-            return [cache[s] for s in segments]
-        except KeyError:
-            pass
-        new = list(dict.fromkeys(s for s in segments if s not in cache))
-        fresh = {}
-        for s, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
-            fresh[s] = (len(ids), " ".join(map(str, ids)).encode(), self.decode_bytes(ids), tuple(ids), *self.within(s, ids))
-        out = [fresh[s] if s in fresh else cache[s] for s in segments]
-        if len(cache) + len(fresh) > CACHE_SEGMENTS:
-            cache.clear()
-        cache.update((s, e) for s, e in fresh.items() if len(s) <= CACHE_CHARS)
+                fresh[s] = ()
+        texts, decimal, odd = list(fresh), self.decimal, self.odd
+        for s, ids in zip(texts, self.inner.encode(texts, num_threads=1), strict=True):
+            decoded = s.replace(MARK, " ").encode("utf-8") if odd.isdisjoint(ids) else self.decode_bytes(ids)
+            fresh[s] = (array("i", ids).tobytes(), " ".join([decimal[k] for k in ids]).encode(), decoded, self.moves(s, ids) if self.inexact else b"")
+        out = [e or new.get(s) or fresh[s] for s, e in zip(segments, found, strict=True)]
+        new.update((s, e) for s, e in fresh.items() if len(s) <= CACHE_CHARS)
+        if len(new) > CACHE_SEGMENTS // 2:
+            self._old, self._new = new, {}
         return out
 
-    def spans(self, text: str) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """The text's segments as lookup() gives them, and the first and the past-the-last original byte of each id's span."""
+    def spans(self, text: str) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """The text's segments as lookup() gives them, all ids, and the first and the past-the-last original byte of each id's span.
+
+        Pieces follow each other through the normalised bytes; the pieces of a character that fell back to bytes share its span.
+        """
         normal, source = self.aligned(text)
         found = self.lookup(self.segments.findall(normal))
-        widths = np.array([e[6] for e in found], np.int64)
-        base = np.repeat(np.cumsum(widths) - widths, np.array([e[0] for e in found], np.int64))
-        last = source[-1:] if self.end_id is not None else source[:0]
-        begin, end = (np.concatenate([source[base + np.frombuffer(b"".join([e[k] for e in found]), np.int32)], last]) for k in (4, 5))
-        return found, begin, end
+        ids = np.frombuffer(b"".join([e[0] for e in found]), np.int32)
+        step = np.frombuffer(b"".join([e[3] for e in found]), np.int32) if self.inexact else self.steps[ids]
+        end = np.cumsum(step, dtype=np.int64)
+        begin = end - step
+        follows = self.follows[ids]
+        if follows.any():
+            begin = begin[np.maximum.accumulate(np.where(follows, 0, np.arange(len(ids))))]
+        begin, end = source[begin], source[end]
+        if self.end_id is not None:
+            ids, begin, end = (np.append(x, v) for x, v in ((ids, np.int32(self.end_id)), (begin, source[-1]), (end, source[-1])))
+        return found, ids, begin, end
 
     def digests(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids with the end id; SHA-256 of the ids, of the decoded text, and of the spans (first and past-the-last byte of each id in turn, 32-bit little-endian)."""
-        found, begin, end = self.spans(text or "")
-        ids = [e[1] for e in found] + ([b"%d" % self.end_id] if self.end_id is not None else [])
+        found, ids, begin, end = self.spans(text or "")
+        shown = [e[1] for e in found] + ([b"%d" % self.end_id] if self.end_id is not None else [])
         decoded = self.finish(b"".join([e[2] for e in found]))
         spans = np.stack([begin, end], axis=1).astype("<i4").tobytes()
-        return sum(map(itemgetter(0), found)) + (self.end_id is not None), *(hashlib.sha256(x).hexdigest() for x in (b" ".join(ids), decoded, spans))
+        return len(ids), *(hashlib.sha256(x).hexdigest() for x in (b" ".join(shown), decoded, spans))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids with the end id, SHA-256 of the ids, SHA-256 of the decoded text."""
@@ -280,9 +293,8 @@ class PieceModel:
 
         The pieces of a byte-fallback character share its span; the end id's span is empty.
         """
-        found, begin, end = self.spans(text or "")
-        ids = [k for e in found for k in e[3]] + ([self.end_id] if self.end_id is not None else [])
-        return ids, begin.tolist(), end.tolist()
+        _, ids, begin, end = self.spans(text or "")
+        return ids.tolist(), begin.tolist(), end.tolist()
 
     # -- decoding -----------------------------------------------------------------------------
 
@@ -348,7 +360,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), ints(0), ints(1), ints(2)], names=[id_col, "ids", "span_begin", "span_end"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, span_begin array<int>, span_end array<int>")
+    return docs.select(q(id_col), q(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, span_begin array<int>, span_end array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -377,4 +389,4 @@ def digest_documents(docs: DataFrame, model_path: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return docs.select(q(id_col), q(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
