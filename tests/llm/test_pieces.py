@@ -133,3 +133,42 @@ def test_the_query_gives_the_spans(spark, sf_small, model):
     got = {r.doc_id: r.spans_sha256 for r in QUERIES["op10_piece_codec"](spark, sf_small).collect()}
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").limit(60).collect()
     assert all(got[r.doc_id] == spans_digest(brute_spans(model, r.text or "")) for r in docs)
+
+
+@pytest.fixture(scope="module")
+def without_bytes():
+    """The same vocabulary in a model that has no byte pieces: an unknown character is the unknown piece."""
+    with open(pieces.default_model(), "rb") as f:
+        data = f.read()
+    out = b""
+    for field, _, value, raw in pieces.proto_fields(data):
+        if field == 1:
+            parts = list(pieces.proto_fields(value))
+            kind = {f: v for f, _, v, _ in parts}.get(3, pieces.NORMAL)
+            raw = pieces._delimited(1, b"".join(r for f, _, _, r in parts if f != 3) + bytes([24, pieces.UNUSED if kind == pieces.BYTE else kind]))
+        elif field == 2:
+            raw = pieces._delimited(2, b"".join(r for f, _, _, r in pieces.proto_fields(value) if f != 35))
+        out += raw
+    return out
+
+
+@pytest.mark.parametrize("text", ["🙂", "a 🙂🙃 b", "x\x01y \x02\x02z end", "plain words", "", "🙂\n🙂 \x01", "é\x01" * 50])
+def test_a_model_without_byte_fallback(without_bytes, text):
+    own, library = pieces.PieceModel(without_bytes), sentencepiece.SentencePieceProcessor(model_proto=without_bytes)
+    same(own, library, text)
+    normal, source = own.normalise(text)
+    at, want = 0, []
+    for piece in library.encode(text, out_type=str):
+        n = len(piece.encode())
+        assert normal.encode()[at : at + n] == piece.encode()
+        want.append((source[at], source[at + n]))
+        at += n
+    assert list(zip(*own.encode(text)[1:], strict=True)) == [*want, (source[-1], source[-1])]
+
+
+def test_results_do_not_depend_on_the_cache(model, monkeypatch):
+    texts = [f"word{i % 7} other{i} words{i % 3} é🙂{i}" for i in range(60)]
+    want = [model.digests(t) for t in texts]
+    monkeypatch.setattr(pieces, "CACHE_SEGMENTS", 8)
+    small = pieces._model(None)
+    assert [small.digests(t) for t in texts] == want and len(small._new) <= 8
