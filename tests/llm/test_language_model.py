@@ -145,3 +145,41 @@ def test_the_network_learns_from_documents_outside_the_sample(spark, monkeypatch
     assert trained == [got[0].train_tokens]
     long = [r for r in got if r.n_tokens > 1000 and r.held_out]
     assert long and all(r.score > 0.8 * r.base_score for r in long)
+
+
+def test_the_querys_scores_against_brute_force(spark, sf_small):
+    """Word by word with plain sums: the state, the class's share, the word's share in its class or by its count in its shape."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    scorer, counts = lm.fit(docs)
+    count = {r.word.encode(): r.c for r in counts.collect()}
+    m, p = scorer.model, {k: v.astype(np.float64) for k, v in scorer.model.p.items()}
+    place = {w: i for i, w in enumerate(scorer.words)}
+    k = m.hidden
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def share(logits, i):
+        e = np.exp(logits - logits.max())
+        return math.log10(e[i] / e.sum())
+
+    def brute(text):
+        h, last, total = np.zeros(k), scorer.end, 0.0
+        for w in [*("" if x is None else x for x in words(text))]:
+            w = w.encode()
+            g, a = p["x"][last] + p["b"], h @ p["u"]
+            z, r = squash(g[:k] + a[:k]), squash(g[k : 2 * k] + a[k : 2 * k])
+            n = np.tanh(g[2 * k :] + r * a[2 * k :])
+            h = (1 - z) * n + z * h
+            logits = h @ p["wc"] + p["bc"]
+            if w in place:
+                last = place[w]
+                c = m.word_class[last]
+                inside = np.flatnonzero(m.word_class == c)
+                total += share(logits, c) + share(h @ p["ww"][:, inside] + p["bw"][inside], int(np.searchsorted(inside, last)))
+            else:
+                last = m.n + lm.shape(w)
+                total += share(logits, m.classes + lm.shape(w)) + math.log10(count.get(w, 0) + lm.SMOOTH) - scorer.log_shape[lm.shape(w)]
+        return total
+
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for r in docs.limit(60).collect():
+        assert got[r.doc_id] == pytest.approx(brute(r.text), rel=1e-3)

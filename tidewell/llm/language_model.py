@@ -28,12 +28,13 @@ from __future__ import annotations
 import copy
 from collections import Counter
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import content_key, cut, held_out
+from tidewell.llm.common import content_key, cut, held_out, q
 
 FOLDS, FOLD = 10, 0
 SMOOTH = 0.1
@@ -59,7 +60,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 def shape(word: bytes) -> int:
     """Class of a word outside the vocabulary: by characters (4 at a time) and by how many bytes are beyond one a character."""
-    n = len(word.decode("utf-8"))
+    n = len(word) if word.isascii() else len(word.decode("utf-8"))
     return min(n // 4, LENGTHS - 1) * SCRIPTS + min(len(word) - n, SCRIPTS - 1)
 
 
@@ -87,7 +88,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield out(held)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(q(text_col).cast("string")).mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,14 +96,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    m = x.max(axis=1, keepdims=True)
-    return m + np.log(np.exp(x - m).sum(axis=1, keepdims=True))
+    """Over the first axis, which numpy reduces many columns at a time."""
+    m = x.max(axis=0)
+    return m + np.log(np.exp(x - m).sum(axis=0))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    return e
+    """Over the first axis, in place."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= x.sum(axis=0)
+    return x
 
 
 class GatedModel:
@@ -143,17 +147,17 @@ class GatedModel:
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target (for a shape: of the class) given the state before it."""
         p = self.p
-        logits = h @ p["wc"] + p["bc"]
+        logits = p["wc"].T @ h.T + p["bc"][:, None]
         c = self.target_class(ids)
-        out = logits[np.arange(len(ids)), c] - log_sum_exp(logits)[:, 0]
+        out = logits[c, np.arange(len(ids))] - log_sum_exp(logits)
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(self.classes + 1))
         for k in range(self.classes):
             rows = order[edges[k] : edges[k + 1]]
             lo, hi = self.bounds[k], self.bounds[k + 1]
             if len(rows) and hi - lo > 1:
-                inner = h[rows] @ p["ww"][:, lo:hi] + p["bw"][lo:hi]
-                out[rows] += inner[np.arange(len(rows)), ids[rows] - lo] - log_sum_exp(inner)[:, 0]
+                inner = p["ww"][:, lo:hi].T @ h[rows].T + p["bw"][lo:hi, None]
+                out[rows] += inner[ids[rows] - lo, np.arange(len(rows))] - log_sum_exp(inner)
         return out
 
     # -- training -----------------------------------------------------------------------------
@@ -197,50 +201,53 @@ class GatedModel:
     def window(self, part: np.ndarray, last: np.ndarray, h: np.ndarray, end: int) -> tuple[dict, np.ndarray, np.ndarray]:
         """(gradients of the mean negative log-probability, state, last ids) of one window; rows of part are time."""
         p, k, n = self.p, self.hidden, part.size
-        cache, states = [], []
-        for ids in part:
-            start = last == end
-            h = np.where(start[:, None], np.float32(0), h)
-            new, z, r, c, a = self.step(last, h)
-            cache.append((last, h, z, r, c, a, start))
-            states.append(new)
-            h, last = new, ids
-        top, ids = np.concatenate(states), part.ravel()
+        before = np.concatenate([last[None], part[:-1]])
+        start = before == end
+        gates = (p["x"][before.ravel()] + p["b"]).reshape(*part.shape, -1)
+        h0, c, a, states = (np.empty((*part.shape, k), gates.dtype) for _ in range(4))
+        zr = np.empty((*part.shape, 2 * k), gates.dtype)
+        for t in range(len(part)):
+            h0[t] = h
+            h0[t][start[t]] = 0
+            u = h0[t] @ p["u"]
+            zr[t] = sigmoid(gates[t, :, : 2 * k] + u[:, : 2 * k])
+            a[t] = u[:, 2 * k :]
+            c[t] = np.tanh(gates[t, :, 2 * k :] + zr[t, :, k:] * a[t])
+            h = states[t] = c[t] + zr[t, :, :k] * (h0[t] - c[t])
+        z, r, last = zr[..., :k], zr[..., k:], part[-1]
+        top, ids = states.reshape(n, k), part.ravel()
         g = {name: np.zeros_like(v) for name, v in p.items()}
-        logits = top @ p["wc"] + p["bc"]
-        d = softmax(logits)
+        d = softmax(p["wc"].T @ top.T + p["bc"][:, None])
         cls = self.target_class(ids)
-        d[np.arange(n), cls] -= 1
+        d[cls, np.arange(n)] -= 1
         d /= n
-        g["wc"], g["bc"] = top.T @ d, d.sum(axis=0)
-        dtop = d @ p["wc"].T
+        g["wc"], g["bc"] = top.T @ d.T, d.sum(axis=1)
+        dtop = d.T @ p["wc"].T
         for j in np.unique(cls[ids < self.n]):
             lo, hi = self.bounds[j], self.bounds[j + 1]
             if hi - lo < 2:
                 continue
             rows = np.flatnonzero(cls == j)
-            inner = top[rows] @ p["ww"][:, lo:hi] + p["bw"][lo:hi]
-            e = softmax(inner)
-            e[np.arange(len(rows)), ids[rows] - lo] -= 1
+            there = top[rows]
+            e = softmax(p["ww"][:, lo:hi].T @ there.T + p["bw"][lo:hi, None])
+            e[ids[rows] - lo, np.arange(len(rows))] -= 1
             e /= n
-            g["ww"][:, lo:hi] = top[rows].T @ e
-            g["bw"][lo:hi] = e.sum(axis=0)
-            dtop[rows] += e @ p["ww"][:, lo:hi].T
+            g["ww"][:, lo:hi] = there.T @ e.T
+            g["bw"][lo:hi] = e.sum(axis=1)
+            dtop[rows] += e.T @ p["ww"][:, lo:hi].T
         dtop = dtop.reshape(len(part), -1, k)
-        carry, met = np.zeros_like(h), []
+        by_n, by_z, by_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), a * r * (1 - r)
+        inner = np.empty_like(gates)
+        carry = np.zeros_like(h)
         for t in range(len(part) - 1, -1, -1):
-            before, h0, z, r, c, a, start = cache[t]
             dh = dtop[t] + carry
-            dn = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            gates = np.concatenate([dz, dr, dn], axis=1)
-            inner = np.concatenate([dz, dr, dn * r], axis=1)
-            met.append((before, gates))
-            g["u"] += h0.T @ inner
-            carry = dh * z + inner @ p["u"].T
-            carry[start] = 0
-        before, gates = (np.concatenate(x) for x in zip(*met, strict=True))
+            dn = dh * by_n[t]
+            gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :] = dh * by_z[t], dn * by_r[t], dn
+            inner[t, :, : 2 * k], inner[t, :, 2 * k :] = gates[t, :, : 2 * k], dn * r[t]
+            carry = dh * z[t] + inner[t] @ p["u"].T
+            carry[start[t]] = 0
+        g["u"] = h0.reshape(n, k).T @ inner.reshape(n, -1)
+        before, gates = before.ravel(), gates.reshape(n, -1)
         order = np.argsort(before, kind="stable")
         own, starts = np.unique(before[order], return_index=True)
         g["x"][own] = np.add.reduceat(gates[order], starts, axis=0)
@@ -313,21 +320,23 @@ class Scorer:
         self.log_shape = np.log10(total + SMOOTH * (distinct + 1))
         self.model = GatedModel(self.counts, total)
 
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For each word its place among the known ones (-1: unknown) and its id for the network; and the unknown words in order."""
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        ids = self.id_of[known]
+        missing = np.flatnonzero(known < 0)
+        rare = [words[i] for i in missing]
+        ids[missing] = [self.n + shape(x) for x in rare]
+        return known, ids, rare
+
     def stream(self, texts: list[str]) -> np.ndarray:
-        known = [self.index.get(w, w) for t in texts for w in tokens(t)]
-        return np.array([self.id_of[k] if isinstance(k, int) else self.n + shape(k) for k in known], np.int64)
+        return self.ids([w for t in texts for w in tokens(t)])[1]
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """For each text: n_tokens, n_known, base, score (without the counts of words not known here) and those words' counter."""
-        get = self.index.get
         parts, others = [], []
         for t in texts:
-            w = tokens(t)
-            k = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-            missing = np.flatnonzero(k < 0)
-            rare = [w[i] for i in missing]
-            ids = self.id_of[k]
-            ids[missing] = [self.n + shape(x) for x in rare]
+            k, ids, rare = self.ids(tokens(t))
             parts.append((k, ids))
             others.append(Counter(rare))
         lens = np.array([len(k) for k, _ in parts])
@@ -393,7 +402,7 @@ def train_everywhere(scorer: Scorer, texts: DataFrame) -> int:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Scorer, DataFrame]:
     """A scorer learnt from the training fold, and the fold's (word, c)."""
-    d = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).filter(~held_out(F.col("i"), FOLDS, FOLD))
+    d = docs.select(q(id_col).alias("i"), F.coalesce(q(text_col).cast("string"), F.lit("")).alias("t")).filter(~held_out(F.col("i"), FOLDS, FOLD))
     counts = cut(count_words(d, "t"))
     total = counts.agg(F.sum("c").alias("n"), F.count("c").alias("v")).first()
     # The commonest words by a threshold on the count, so that no task sends words that aren't taken. Eighths of a
@@ -453,8 +462,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in (0, 1)), pa.array([w for o in others for w in o], pa.string()), pa.array([c for o in others for c in o.values()], pa.int64()), *(pa.nulls(gap, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
 
     names = ["row", "key", "word", "times", "n_tokens", "n_known", "base", "score"]
-    k1, k2 = content_key(F.col(id_col), F.col(text_col).cast("string"))
-    d = docs.select(F.col(id_col).alias("row"), F.struct(k1.alias("k1"), k2.alias("k2")).alias("key"), F.col(text_col).cast("string").alias("t"))
+    k1, k2 = content_key(q(id_col), q(text_col).cast("string"))
+    d = docs.select(q(id_col).alias("row"), F.struct(k1.alias("k1"), k2.alias("k2")).alias("key"), q(text_col).cast("string").alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
     parts = d.mapInArrow(run, f"row {kind}, key struct<k1:bigint,k2:bigint>, word string, times bigint, n_tokens bigint, n_known bigint, base double, score double")
     # A document's own row has a word with a space, which no word has: it meets nothing, and no two rows crowd one key.
