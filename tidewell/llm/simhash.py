@@ -15,7 +15,8 @@ of it, and two fingerprints are within two bits exactly if they name a word in c
 the least fingerprint of every such word. Equal fingerprints are one class throughout.
 
 Null text counts as empty; texts without words share fingerprint zero and are linked like others.
-Rows with a null id keep their fingerprint and a component, but never give it its name. Repeated rows
+Documents meet their class by fingerprint and one of `SALTS` hashes of their id, so that a mass of copies with
+one fingerprint is spread over that many keys. Rows with a null id keep their fingerprint and a component, but never give it its name. Repeated rows
 give repeated rows; other columns aren't read; an empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import cut, q
 from tidewell.llm.components import connected_components
 
 SHINGLE = 3
@@ -35,6 +36,8 @@ SEED = 42
 DISTANCE = 2
 #: Up to so many fingerprints under a key are compared pair by pair.
 PAIR_LIMIT = 48
+#: Keys over which the documents of one fingerprint are spread.
+SALTS = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 #: Segment widths from the lowest bit, and the code's generator polynomial x^11+x^9+x^7+x^6+x^5+x+1. Fixed values.
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(q(id_col), q(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
 
 class Golay:
@@ -157,11 +160,12 @@ def links(classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (least id reachable through links)."""
-    prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    prints = cut(fingerprints(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64(q(id_col)), F.lit(SALTS))))
+    held = prints.groupBy("fp", "salt").agg(F.min(q(id_col)).alias("least"))
+    classes = cut(held.groupBy("fp").agg(F.min("least").alias("least")))
     labels = connected_components(links(classes)).withColumnRenamed("id", "fp")
     named = classes.join(labels, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = cut(named)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp", "left").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_print = held.select("fp", "salt").join(named.join(ids, "component").select("fp", "component_id"), "fp")
+    return prints.join(by_print, ["fp", "salt"], "left").select(q(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
