@@ -7,8 +7,8 @@ labelled documents, then every line of every document gets its marginal by forwa
 document's quality is the mean marginal weighted by line length, calibrated by a logistic curve that is
 fitted on the same sample.
 
-The sample: at most `SAMPLE` labelled documents in the order of a hash of their ids, of those with at
-most `SAMPLE_CHARS` characters. Everything else covers all rows and whole texts. Labels, ids, languages
+The sample that it is fitted on: at most `SAMPLE` labelled documents in the order of a hash of their ids, of those with at
+most `SAMPLE_CHARS` characters (both are parameters). Everything else covers all rows and whole texts. Labels, ids, languages
 and sources are no inputs of a score. Null text counts as empty; an empty text is one empty line and is
 scored like any other. Documents whose label is null or contradictory aren't learnt from. Without examples of
 both labels nothing can be learnt, and every score is the known label's value, or 1 if there is none.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import held_out
+from tidewell.llm.common import fresh, held_out, q
 
 SAMPLE = 4000
 SAMPLE_CHARS = 20_000
@@ -205,30 +205,31 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
     """A field learnt from the labelled documents outside the held-out fold, of which the driver gets at most `sample`."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)").filter(~held_out(F.col("i"), FOLDS, FOLD))
+    known = labels.select(q(id_col).alias("i"), q(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)").filter(~held_out(F.col("i"), FOLDS, FOLD))
     known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("i", "y")
-    text = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    chosen = known.orderBy(F.xxhash64("i"), "i").limit(2 * sample)
-    rows = text.filter(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(chosen), "i").orderBy(F.xxhash64("i"), "i", "t").limit(sample).select("t", "y").collect()
+    text = docs.select(q(id_col).alias("i"), F.coalesce(q(text_col).cast("string"), F.lit("")).alias("t")).filter(F.length("t") <= chars)
+    chosen = text.select("i").distinct().join(known, "i").orderBy(F.xxhash64("i"), "i").limit(sample)
+    rows = text.join(F.broadcast(chosen), "i").orderBy(F.xxhash64("i"), "i", "t").limit(sample).select("t", "y").collect()
     return fit([r.t for r in rows], [r.y for r in rows])
 
 
 def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __score (double) beside all their columns."""
+    """docs with its score (double) as a last column beside all others, __score unless docs has one of that name."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            at = b.schema.get_field_index("__text")
-            got = field.score(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), pa.array(got, pa.float64())], names=[*(n for i, n in enumerate(b.schema.names) if i != at), "__score"])
-
-    out = docs.select(*docs.columns, F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return out.mapInArrow(run, schema)
+            got = field.score(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=names)
+
+    # By position, as mapInArrow doesn't take names with dots.
+    names = [f"c{i}" for i in range(len(docs.columns) + 1)]
+    out = docs.select(*[q(c).alias(n) for c, n in zip(docs.columns, names, strict=False)], q(text_col).cast("string").alias(names[-1]))
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=False)], T.StructField(names[-1], T.DoubleType())])
+    return out.mapInArrow(run, schema).toDF(*docs.columns, fresh(docs, "__score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
