@@ -3,6 +3,7 @@ import hashlib
 import corpus_pipeline
 import pytest
 import sentencepiece
+from pyspark.sql.functions import lit as pyspark_lit
 from test_decontam import brute as brute_hits
 from test_simhash import brute as brute_groups
 
@@ -39,3 +40,22 @@ def test_a_stage_returns_the_columns_of_documents(spark, sf_small, k):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         assert out.count() <= frame.count()
     assert out.count() == 0
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_dotted_and_long(spark, sf_small, k):
+    """Columns named like the stages' own, a text far longer than others, ties and repeated rows."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(30)
+    long = docs.first().text * 400
+    more = spark.createDataFrame([(900, long, "en", "a", len(long)), (900, long, "en", "a", len(long)), (901, long, "en", "b", len(long))], docs.schema)
+    odd = docs.unionByName(more)
+    clash = ["__score", "__text", "__lines", "__lines_", "a.b", "row", "o", "h", "name", "k1", "term", "fp", "key"]
+    wide = odd.select("*", *[pyspark_lit(i).alias(c) for i, c in enumerate(clash)])
+    out = corpus_pipeline.STAGES[k][1](spark, wide, sf_small)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert all(tuple(r)[len(odd.columns) :] == tuple(range(len(clash))) for r in rows)
+    want = sorted((r.doc_id, r.text) for r in corpus_pipeline.STAGES[k][1](spark, odd, sf_small).collect())
+    assert sorted((r.doc_id, r.text) for r in rows) == want and len(want) > 0
+    if k == 2:  # repeating a text keeps its fingerprint: the original has the least id
+        assert not {900, 901} & {i for i, _ in want} and docs.first().doc_id in {i for i, _ in want}
