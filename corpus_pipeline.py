@@ -1,7 +1,13 @@
 """The corpus pipeline: quality classifier, line dedup, near dedup, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. A stage between
-returns the columns of documents; run() applies them all to the table documents.
+returns the columns of documents, whatever others there are beside the ones it needs; run() applies them all to the
+table documents.
+
+Null texts count as empty in every stage. An empty text is scored by the first one, has no line to drop, shares the
+fingerprint of all texts without words (one of them stays), has no benchmark window and encodes to the end id.
+A document whose lines all recur in earlier ones becomes such a text. Of documents with equal fingerprints the least id stays, null ids last;
+of rows that are alike in id and text, one. Texts of any length are worked on whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,18 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, lines, pieces, quality, simhash
-from tidewell.llm.common import cut, table
+from tidewell.llm.common import cut, fresh, q, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores at its threshold or above."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, field).filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, field).filter(q(fresh(docs, "__score")) >= quality.THRESHOLD).select(*map(q, docs.columns))
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose templates recur; n_chars follows the text."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*map(q, docs.columns))
 
 
 def _named(docs: DataFrame) -> DataFrame:
