@@ -45,6 +45,8 @@ WINDOW, STREAMS, EPOCHS, RATE = 20, 64, 2, 0.01
 #: The pass over the whole fold: streams at most, steps that come before more streams, first rate, steps after which it has
 #: fallen by sqrt(2), tokens held by a worker.
 PASS_STREAMS, PASS_STEPS, PASS_RATE, PASS_FALL, PASS_TOKENS = 512, 100, 0.004, 100, 2_000_000
+#: Documents that advance together, and rows that go through the output at once: what fits a processor's cache.
+TOGETHER, ROWS = 1024, 8192
 #: Parts in which the partitions' parameters meet.
 SLICES = 16
 #: Distinct words that a counting worker holds, and tokens that a scoring worker holds, at most.
@@ -146,6 +148,9 @@ class GatedModel:
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target (for a shape: of the class) given the state before it."""
+        return np.concatenate([self._log_probs(h[i : i + ROWS], ids[i : i + ROWS]) for i in range(0, len(ids), ROWS)])
+
+    def _log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         p = self.p
         logits = p["wc"].T @ h.T + p["bc"][:, None]
         c = self.target_class(ids)
@@ -204,17 +209,16 @@ class GatedModel:
         before = np.concatenate([last[None], part[:-1]])
         start = before == end
         gates = (p["x"][before.ravel()] + p["b"]).reshape(*part.shape, -1)
-        h0, c, a, states = (np.empty((*part.shape, k), gates.dtype) for _ in range(4))
-        zr = np.empty((*part.shape, 2 * k), gates.dtype)
+        h0, z, r, c, a, states = (np.empty((*part.shape, k), gates.dtype) for _ in range(6))
         for t in range(len(part)):
             h0[t] = h
             h0[t][start[t]] = 0
             u = h0[t] @ p["u"]
-            zr[t] = sigmoid(gates[t, :, : 2 * k] + u[:, : 2 * k])
-            a[t] = u[:, 2 * k :]
-            c[t] = np.tanh(gates[t, :, 2 * k :] + zr[t, :, k:] * a[t])
-            h = states[t] = c[t] + zr[t, :, :k] * (h0[t] - c[t])
-        z, r, last = zr[..., :k], zr[..., k:], part[-1]
+            zr = sigmoid(gates[t, :, : 2 * k] + u[:, : 2 * k])
+            z[t], r[t], a[t] = zr[:, :k], zr[:, k:], u[:, 2 * k :]
+            c[t] = np.tanh(gates[t, :, 2 * k :] + r[t] * a[t])
+            h = states[t] = c[t] + z[t] * (h0[t] - c[t])
+        last = part[-1]
         top, ids = states.reshape(n, k), part.ravel()
         g = {name: np.zeros_like(v) for name, v in p.items()}
         d = softmax(p["wc"].T @ top.T + p["bc"][:, None])
@@ -270,10 +274,16 @@ class GatedModel:
         """Natural log-probability of each document: lens[i] ids each, laid end to end."""
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         order = np.argsort(-lens, kind="stable")
-        s, n = starts[order], lens[order]
         out = np.zeros(len(lens))
-        h, last = np.zeros((len(lens), self.hidden), np.float32), np.full(len(lens), end)
-        longest = int(n[0]) if len(n) else 0
+        for i in range(0, len(order), TOGETHER):  # of like lengths
+            part = order[i : i + TOGETHER]
+            out[part] = self._score(ids, starts[part], lens[part], end)
+        return out
+
+    def _score(self, ids: np.ndarray, s: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
+        out = np.zeros(len(n))
+        h, last = np.zeros((len(n), self.hidden), np.float32), np.full(len(n), end)
+        longest = int(n[0])
         for begin in range(0, longest, WINDOW):
             states, targets, who = [], [], []
             for t in range(begin, min(begin + WINDOW, longest)):
@@ -288,9 +298,7 @@ class GatedModel:
             for alive in who:
                 out[:alive] += got[at : at + alive]
                 at += alive
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+        return out
 
 
 class Scorer:
