@@ -139,3 +139,55 @@ def test_filters_and_columns_reach_the_scan(spark):
     s = Session(spark).register("events", spark.read.parquet("/root/testdata/sf0.001/events.parquet"), ts="ts")
     plan = s.sql("SELECT event_id FROM events WHERE value > 10", "pipeline")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,10.0)" in plan and "props" not in plan
+
+
+def test_pipelines_drop_late_events(spark):
+    """An event behind the watermark goes, though its window is still open to others; one watermark serves all inputs."""
+    s = Session(spark)
+    s.register("e", spark.createDataFrame([(100, 1), (9000, 2), (200, 3), (9500, 4)], "ts long, seq long"), ts="ts", arrival="seq")
+    got = rows(s.sql("SELECT COUNT(*) AS n FROM e WINDOW TUMBLING(SIZE 1 SECONDS)", "pipeline"))
+    assert got == [(1, 0, 1000), (2, 9000, 10000)]
+    assert rows(s.sql("SELECT ts FROM e", "pipeline")) == [(100,), (9000,), (9500,)]
+    assert rows(s.sql("SELECT ts FROM e")) == [(100,), (200,), (9000,), (9500,)]  # tables never drop
+    s.register("f", spark.createDataFrame([(8500, 5, "in"), (8499, 6, "late"), (None, 7, "no time")], "ts long, seq long, k string"), ts="ts", arrival="seq")
+    assert rows(s.sql("SELECT f.k FROM e JOIN f WITHIN 1 SECONDS ON e.ts = f.ts + 500", "pipeline")) == [("in",)]
+    assert rows(s.sql("SELECT k FROM f", "pipeline")) == [("in",), ("late",), ("no time",)]  # of itself, f is late nowhere
+    union = "SELECT ts AS x FROM e UNION ALL SELECT ts AS x FROM f"
+    assert rows(s.sql(union, "pipeline")) == [(100,), (8500,), (9000,), (9500,), (None,)]
+    nested = "SELECT MAX(h.n) AS n FROM (SELECT COUNT(*) AS n FROM e WINDOW TUMBLING(SIZE 1 SECONDS)) h WINDOW TUMBLING(SIZE 1 MINUTES)"
+    assert rows(s.sql(nested, "pipeline")) == [(2, 0, 60000)]
+
+
+def test_far_off_times(spark):
+    """An event thousands of years away makes no slots in between."""
+    far = 253_370_764_800_000
+    s = Session(spark)
+    s.register("e", spark.createDataFrame([(0, "a", 1), (1500, "b", 2), (2500, "a", 3), (far, "b", 4), (-5000, "a", 5)], "ts long, k string, v long"), ts="ts")
+    got = rows(s.sql("SELECT e.ts, (SELECT MAX(v) AS m FROM e WINDOW TUMBLING(SIZE 1 SECONDS)) AS prior FROM e", "pipeline"))
+    assert got == sorted([(-5000, None), (0, 5), (1500, 1), (2500, 2), (far, 3)], key=str)
+    got = rows(s.sql("SELECT ts FROM e WHERE k IN (SELECT k FROM e GROUP BY k WINDOW TUMBLING(SIZE 1 SECONDS))", "pipeline"))
+    assert got == [(0,)]
+
+
+@pytest.mark.parametrize("gap", [1, 7, 1000])
+def test_sessions_against_a_plain_pass(spark, gap):
+    import random
+
+    rng = random.Random(gap)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(-40 * gap, 40 * gap)) for _ in range(60)] + [("a", 0), ("a", gap), ("a", 0)]
+    s = Session(spark)
+    s.register("e", spark.createDataFrame(data, "k string, ts long"), ts="ts")
+
+    def brute(times):
+        out = []
+        for t in sorted(times):
+            if out and t - out[-1][2] <= gap:
+                out[-1] = [out[-1][0] + 1, out[-1][1], t]
+            else:
+                out.append([1, t, t])
+        return [tuple(x) for x in out]
+
+    got = rows(s.sql(f"SELECT COUNT(*) AS n FROM e WINDOW SESSION(GAP {gap} MILLISECONDS)", "pipeline"))
+    assert got == sorted(brute([t for _, t in data]), key=str)
+    got = rows(s.sql(f"SELECT k, COUNT(*) AS n FROM e GROUP BY k WINDOW SESSION(GAP {gap} MILLISECONDS)", "pipeline"))
+    assert got == sorted([(k, *x) for k in ("a", "b", None) for x in brute([t for j, t in data if j == k])], key=str)

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Slots in a block of visible_end().
+SLOTS = 4096
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], lts: Column, rts: Column, within: int, how: str = "inner", residual: Column | None = None) -> DataFrame:
     """Rows of both sides with equal keys and times at most `within` apart, inclusively.
 
@@ -72,11 +76,17 @@ def snapshot_scalar(outer: DataFrame, ots: str, inner: DataFrame, end: str, valu
 
 
 def visible_end(outer: DataFrame, ots: str, ends: DataFrame, size: int) -> DataFrame:
-    """Adds __visible: the greatest of `ends` (multiples of size) at or before the row's time."""
-    # Each end is visible until the next one: ends become half-open intervals, exploded to the size-wide slots that they cover.
-    order = W.orderBy("__end")
-    spans = ends.select("__end", F.lead("__end").over(order).alias("__next"))
-    last = F.broadcast(outer.agg(F.max(ots).alias("__last")))  # one row
-    slots = spans.join(last).select("__end", F.explode(F.sequence(F.col("__end"), F.greatest(F.coalesce(F.col("__next") - size, F.col("__last")), F.col("__end")), F.lit(size))).alias("__slot"))
-    rows = outer.withColumn("__slot", F.col(ots) - F.pmod(F.col(ots), F.lit(size)))
-    return rows.join(slots.withColumnRenamed("__end", "__visible"), "__slot", "left").drop("__slot")
+    """Adds __visible: the greatest of `ends` (multiples of size) at or before the row's time.
+
+    Only slots (times down to a multiple of size) that hold a row or an end are looked at. The greatest end so far is
+    carried over blocks of slots, then within each, and rows meet it by slot; no slot between two ends is made up.
+    """
+    slot = F.col(ots) - F.pmod(F.col(ots), F.lit(size))
+    held = outer.select(slot.alias("__slot"), F.lit(None).cast("bigint").alias("__end")).union(ends.select("__end", "__end"))
+    slots = held.groupBy("__slot").agg(F.max("__end").alias("__end")).filter("__slot is not null").withColumn("__block", F.floor(F.col("__slot") / (size * SLOTS)))
+    blocks = slots.groupBy("__block").agg(F.max("__end").alias("__top"))
+    earlier = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("__block", F.max("__top").over(earlier).alias("__before"))
+    inside = W.partitionBy("__block").orderBy("__slot").rowsBetween(W.unboundedPreceding, 0)
+    seen = slots.join(blocks, "__block").select("__slot", F.greatest(F.max("__end").over(inside), F.col("__before")).alias("__visible"))
+    return outer.withColumn("__slot", slot).join(seen, "__slot", "left").drop("__slot")

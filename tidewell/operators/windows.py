@@ -23,13 +23,23 @@ def hopping(df: DataFrame, ts: str, size: int, advance: int) -> DataFrame:
     return out.withColumns({"window_start": start, "window_end": start + size}).drop("__hop")
 
 
-def session(df: DataFrame, ts: str, gap: int, keys: list[str | Column], arrival: list[str | Column] = ()) -> DataFrame:
-    """Adds window_start and window_end (first and last event time); a row extends a session up to `gap` after its last, inclusively."""
-    order = W.partitionBy(*keys).orderBy(F.col(ts), *arrival)
-    broken = F.when(F.col(ts) - F.lag(ts).over(order) <= gap, 0).otherwise(1)
-    numbered = df.withColumn("__break", broken).withColumn("__session", F.sum("__break").over(order.rowsBetween(W.unboundedPreceding, 0)))
+def session(df: DataFrame, ts: str, gap: int, keys: list[str]) -> DataFrame:
+    """Adds window_start and window_end (first and last event time); a row extends a session up to `gap` after its last, inclusively.
+
+    Rows of one key in the same gap-long bucket of time are always in one session. So each bucket comes down to its first and
+    last time by a map-side-combined aggregate, only buckets are put in order, and rows meet their session by key and bucket.
+    """
+    bucket = F.floor(F.col(ts) / max(gap, 1))
+    held = df.groupBy(*keys, bucket.alias("__bucket")).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    order = W.partitionBy(*keys).orderBy("__bucket")
+    broken = F.when(F.col("__lo") - F.lag("__hi").over(order) <= gap, 0).otherwise(1)
+    numbered = held.withColumn("__break", broken).withColumn("__session", F.sum("__break").over(order.rowsBetween(W.unboundedPreceding, 0)))
     whole = W.partitionBy(*keys, "__session")
-    return numbered.withColumns({"window_start": F.min(ts).over(whole), "window_end": F.max(ts).over(whole)}).drop("__break", "__session")
+    bounds = numbered.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"), F.min("__lo").over(whole).alias("window_start"), F.max("__hi").over(whole).alias("window_end"))
+    same = bucket.eqNullSafe(F.col("__b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(bounds, same).drop("__b", *[f"__k{i}" for i in range(len(keys))])
 
 
 def assign(df: DataFrame, ts: str, kind: str, size: int, advance: int | None = None, keys: list = ()) -> DataFrame:

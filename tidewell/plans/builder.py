@@ -18,7 +18,7 @@ from tidewell.functions import registry as R
 from tidewell.functions import values as V
 from tidewell.functions.registry import Typed
 from tidewell.operators import joins as J
-from tidewell.operators import latest, windows
+from tidewell.operators import lateness, latest, windows
 from tidewell.sql import tree as S
 from tidewell.sql.parser import parse
 from tidewell.sql.tree import DialectError
@@ -84,7 +84,9 @@ class Session:
 
     def register(self, name: str, df: DataFrame, ts: str | Column | None = None, json: tuple[str, ...] = (), arrival: str | None = None) -> Session:
         """A stream or table. ts gives the event time: a timestamp or epoch milliseconds; json names text columns
-        that hold JSON; arrival names a number that tells the order of arrival, which breaks ties of time."""
+        that hold JSON; arrival names a number that tells the order of arrival, which breaks ties of time. Sources with
+        arrivals number them together; a pipeline drops their late events before anything else, by one watermark over all
+        sources of the statement. A source without is taken to be in order."""
         fields, columns = [], []
         for f in df.schema.fields:
             if f.name in META:
@@ -101,7 +103,7 @@ class Session:
         return self
 
     def compile(self, text: str, mode: str = "table") -> Relation:
-        return Builder(self, mode).query(parse(text))
+        return Builder(self, mode, references(text)).query(parse(text))
 
     def sql(self, text: str, mode: str = "table") -> DataFrame:
         """The statement's columns; a windowed one ends with window_start and window_end, and with _final under EMIT CHANGES."""
@@ -183,10 +185,11 @@ def conjuncts(node) -> list:
 
 
 class Builder:
-    def __init__(self, session: Session, mode: str):
+    def __init__(self, session: Session, mode: str, names: list[str]):
+        """names: the sources of the whole statement."""
         if mode not in ("table", "pipeline"):
             raise ValueError(mode)
-        self.session, self.mode, self.serial = session, mode, 0
+        self.session, self.mode, self.names_read, self.serial = session, mode, names, 0
 
     # -- queries ------------------------------------------------------------------------------
 
@@ -219,10 +222,14 @@ class Builder:
 
     def source(self, node) -> tuple[str, Relation]:
         if isinstance(node, S.Derived):
-            return node.alias, Builder(self.session, self.mode).query(node.query)
+            return node.alias, Builder(self.session, self.mode, self.names_read).query(node.query)
         if node.name not in self.session.relations:
             raise DialectError(f"unknown source {node.name}", *node.pos)
-        return node.alias, self.session.relations[node.name]
+        rel = self.session.relations[node.name]
+        if self.mode == "pipeline" and "_arrival" in rel.df.columns:
+            timed = [n for n in self.names_read if n in self.session.relations and "_arrival" in self.session.relations[n].df.columns]
+            rel = replace(rel, df=lateness.drop_late_among([self.session.relations[n].df for n in timed], timed.index(node.name), "_ts", "_arrival"))
+        return node.alias, rel
 
     def frame(self, alias: str, rel: Relation) -> Frame:
         columns = [q(n).alias(f"{alias}.{n}") for n, _ in rel.fields if n not in META] + [q(m).alias(f"{alias}.{m}") for m in META]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import values as V
 from tidewell.operators import graph, lateness, latest, search, windows, zset
+from tidewell.plans.builder import Session
 from tidewell.sources import formats, generators, ingest
 
 QUERIES: dict = {}
@@ -66,6 +67,36 @@ def late_count(spark, sf_dir):
     return lateness.late_count(shaken(spark, sf_dir), "t", "event_id")
 
 
+def _late(spark, sf_dir, text):
+    """A pipeline over the shaken stream and two streams cut from it, all numbered by event_id."""
+    all_ = shaken(spark, sf_dir)
+    s = Session(spark)
+    for name, df in (("shaken", all_), ("clicks", all_.filter("event_type = 'click'")), ("buys", all_.filter("event_type = 'purchase'"))):
+        s.register(name, df, ts="t", arrival="event_id")
+    return s.sql(text, "pipeline")
+
+
+ON_TIME = f"(SELECT * FROM (SELECT *, max(t) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000 AS w FROM {SHAKEN} {{0}}) WHERE w IS NULL OR t >= w)"
+
+
+@query(f"SELECT event_type, count(*) AS n, max(value) AS high, t - t % {HOUR} AS window_start, t - t % {HOUR} + {HOUR} AS window_end FROM {ON_TIME.format('')} GROUP BY ALL")
+def late_sql(spark, sf_dir):
+    return _late(spark, sf_dir, "SELECT event_type, COUNT(*) AS n, MAX(value) AS high FROM shaken GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)")
+
+
+@query(f"""WITH o AS {ON_TIME.format("WHERE event_type IN ('click', 'purchase')")}
+SELECT c.event_id AS a, b.event_id AS b FROM o c JOIN o b ON c.event_type = 'click' AND b.event_type = 'purchase' AND c.user_id = b.user_id AND abs(c.t - b.t) <= {6 * HOUR}""")
+def late_join_sql(spark, sf_dir):
+    """One watermark over both inputs: an event is late if either input was ahead of it."""
+    return _late(spark, sf_dir, "SELECT c.event_id AS a, b.event_id AS b FROM clicks c JOIN buys b WITHIN 6 HOURS ON c.user_id = b.user_id")
+
+
+@query(f"""WITH h AS (SELECT event_type, count(*) AS n, t - t % {HOUR} + {HOUR} AS e FROM {ON_TIME.format('')} GROUP BY ALL)
+SELECT event_type, max(n) AS peak, count(*) AS hours, e - e % {DAY} AS window_start, e - e % {DAY} + {DAY} AS window_end FROM h GROUP BY ALL""")
+def late_nested_sql(spark, sf_dir):
+    return _late(spark, sf_dir, "SELECT h.event_type, MAX(h.n) AS peak, COUNT(*) AS hours FROM (SELECT event_type, COUNT(*) AS n FROM shaken GROUP BY event_type WINDOW TUMBLING(SIZE 1 HOURS)) h GROUP BY h.event_type WINDOW TUMBLING(SIZE 24 HOURS)")
+
+
 @query(f"SELECT event_id, max(t) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000 AS watermark FROM {SHAKEN}")
 def watermark(spark, sf_dir):
     return lateness.with_watermark(shaken(spark, sf_dir), "t", "event_id").select("event_id", F.col("_watermark").alias("watermark"))
