@@ -50,6 +50,8 @@ def test_precedence_and_sugar():
         ("SELECT symbol FROM trades t JOIN ref r ON t.symbol = r.symbol", "pipeline", "WITHIN"), ("SELECT symbol FROM trades GROUP BY symbol LATEST BY symbol", "table", "unexpected"), ("SELECT PERCENTILE_CONT(2, price) FROM trades", "table", "share"),
         ("SELECT symbol FROM trades LEFT JOIN UNNEST(symbol) AS l", "table", "UNNEST"), ("SELECT UPPER() FROM trades", "table", "arguments"), ("SELECT NOPE(1) FROM trades", "table", "unknown function"), ("SELECT qty AS a, price AS a FROM trades", "table", "share a name"),
         ("SELECT 'open FROM trades", "table", "unterminated"), ("SELECT symbol FROM trades WHERE qty", "table", "condition"), ("SELECT qty FROM trades WHERE qty IN (1, 2)", "table", "subquery"),
+        ("SELECT SUM() FROM trades", "table", "SUM takes 1 argument"), ("SELECT MIN(qty, price) FROM trades", "table", "MIN takes 1 argument"), ("SELECT PERCENTILE_CONT(price) FROM trades", "table", "takes 2 arguments"), ("SELECT SUM(*) FROM trades", "table", "COUNT only"),
+        ("SELECT symbol AS window_start, COUNT(*) AS n FROM trades GROUP BY symbol WINDOW TUMBLING(SIZE 1 SECONDS)", "pipeline", "another name"),
     ],
 )
 def test_diagnostics(s, text, mode, what):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidewell.operators import graph
 from tidewell.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -34,17 +35,17 @@ def rows(spark, name):
 
 
 def test_reachability_over_all_orders(spark, edges):
-    assert rows(spark, "reachability_whole") == sorted((n,) for n in {1} | reached(neighbours(edges), [1]))
+    assert rows(spark, "reachability") == sorted((n,) for n in {1} | reached(neighbours(edges), [1]))
 
 
 def test_closure_over_all_orders(spark, edges):
     out = neighbours(edges)
-    assert rows(spark, "closure_whole") == sorted((a, b) for a in out for b in reached(out, [a]))
+    assert rows(spark, "closure") == sorted((a, b) for a in out for b in reached(out, [a]))
 
 
 def test_components_over_all_orders(spark, edges):
     both = neighbours(edges + [(b, a) for a, b in edges])
-    assert rows(spark, "components_whole") == sorted((n, min({n} | reached(both, [n]))) for n in both)
+    assert rows(spark, "components") == sorted((n, min({n} | reached(both, [n]))) for n in both)
 
 
 def test_paths_of_all_parts(spark):
@@ -52,3 +53,13 @@ def test_paths_of_all_parts(spark):
     got = catalog.QUERIES["mc_paths"](spark, SF)
     assert {r[0] for r in got.select("instrument_id").distinct().collect()} == parts
     assert got.count() == len(parts) * 200 * 10
+
+
+def test_long_chains_cycles_and_null_ends(spark):
+    chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (5, None), (None, 6), (7, 7), (2000, 2000)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    got = sorted(tuple(r) for r in graph.connected_components(edges).collect())
+    assert got == [(i, 0) for i in range(301)] + [(1000, 1000), (1001, 1000), (1002, 1000), (2000, 2000)]
+    cycle = spark.createDataFrame(chain[300:], "src long, dst long")
+    assert graph.transitive_closure(cycle).count() == 9 + 2
+    assert sorted(r.node for r in graph.reachability(cycle, spark.createDataFrame([(1001,), (None,), (5,)], "node long")).collect()) == [5, 1000, 1001, 1002]

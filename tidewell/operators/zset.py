@@ -36,11 +36,22 @@ def distinct(changes: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Bilinear join: weights multiply. Null keys meet nothing."""
-    r = right.withColumnRenamed(WEIGHT, "__w")
+    """Bilinear join: weights multiply. Null keys meet nothing.
+
+    With how="left", a left row is padded if the right side holds no row of its key on balance; for that the right side is netted first.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    r = (right if how == "inner" else consolidate(right, [c for c in right.columns if c != WEIGHT])).withColumnRenamed(WEIGHT, "__w")
     return left.join(r, on, how).withColumn(WEIGHT, F.col(WEIGHT) * F.coalesce("__w", F.lit(1))).drop("__w")
 
 
+def difference(after: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
+    """The deltas that lead from one multiset of rows to another: asserted rows weigh +1 each, retracted ones -1."""
+    one = lambda df, w: df.select(*columns, F.lit(w).cast("long").alias(WEIGHT))
+    return consolidate(concat(one(after, 1), one(before, -1)), columns)
+
+
 def aggregate(changes: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
     """Counts and sums under weights; groups without net rows are gone.
 

@@ -476,7 +476,13 @@ class Builder:
                     aggs[x] = (f"__a{len(aggs)}", "")
         calls = []
         for x, (name, _) in aggs.items():
-            args = () if x.args and isinstance(x.args[0], S.Star) else tuple(self.expr(fr, a) for a in x.args)
+            stars = [a for a in x.args if isinstance(a, S.Star)]
+            if stars and (x.name != "COUNT" or len(x.args) > 1):
+                raise DialectError(f"* stands in COUNT only, not in {x.name}", *x.pos)
+            wanted = 2 if x.name == "PERCENTILE_CONT" else 1
+            if len(x.args) != wanted:
+                raise DialectError(f"{x.name} takes {wanted} argument{'s' * (wanted > 1)}", *x.pos)
+            args = () if stars else tuple(self.expr(fr, a) for a in x.args)
             if x.name == "PERCENTILE_CONT" and not (isinstance(x.args[0], S.Literal) and isinstance(x.args[0].value, (int, float)) and 0 <= x.args[0].value <= 1):
                 raise DialectError("PERCENTILE_CONT takes a literal share from 0 to 1", *x.pos)
             t = R.aggregate(x.name, args, x.distinct)
@@ -496,6 +502,9 @@ class Builder:
             df = steps.unionByName(df.withColumn("_final", F.lit(True)))
         after = Frame(df, extra={**{e: (c, keys[e].kind) for e, c in cols.items()}, **aggs, **fr.extra})
         names = self.names(items)
+        for n, i in zip(names, items, strict=True):
+            if n.lower() in {*bounds, *META, *(["_final"] if changes else [])}:
+                raise DialectError(f"{n} is a column of the window's own; take another name", *getattr(i.expr, "pos", node.pos))
         out, fields = [], []
         for n, i in zip(names, items, strict=True):
             t = self.expr(after, i.expr)
