@@ -38,8 +38,12 @@ def _keys(t: Column) -> Column:
     at = [F.floor(rest * F.lit(i) / PARTS).cast("int") + LEADING for i in range(PARTS + 1)]
     both = lambda *x: F.struct(F.xxhash64(*x).alias("k1"), F.xxhash64(F.lit("second"), *x).alias("k2"))
     full = both(F.lit(-1), n, t)
-    general = [F.when(at[i + 1] > at[i], both(F.lit(i), n, F.slice(t, 1, at[i]), F.slice(t, at[i + 1] + 1, n))) for i in range(PARTS)]
-    return F.when(n > LEADING, F.array_compact(F.array(full, *general))).otherwise(F.array(full))
+    general = [both(F.lit(i), n, F.slice(t, 1, at[i]), F.slice(t, at[i + 1] + 1, n)) for i in range(PARTS)]
+    # Spelled out by the size of the tail: a filter over the array would leave compiled code.
+    found = F.array(full, *general)
+    for r in range(PARTS):
+        found = F.when(n == LEADING + r, F.array(full, *[g for i, g in enumerate(general) if r * (i + 1) // PARTS > r * i // PARTS])).otherwise(found)
+    return F.when(n < LEADING, F.array(full)).otherwise(found)
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
