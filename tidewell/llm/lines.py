@@ -31,31 +31,24 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, SPACE), "")
 
 
-def _keys(t: Column) -> Column:
-    """array of (k1, k2): the line's templates, each as a 128-bit hash of its fixed tokens and its shape."""
-    n = F.size(t)
-    rest = F.greatest(n - LEADING, F.lit(0))
-    at = [F.floor(rest * F.lit(i) / PARTS).cast("int") + LEADING for i in range(PARTS + 1)]
-    both = lambda *x: F.struct(F.xxhash64(*x).alias("k1"), F.xxhash64(F.lit("second"), *x).alias("k2"))
-    full = both(F.lit(-1), n, t)
-    general = [both(F.lit(i), n, F.slice(t, 1, at[i]), F.slice(t, at[i + 1] + 1, n)) for i in range(PARTS)]
-    # Spelled out by the size of the tail: a filter over the array would leave compiled code.
-    found = F.array(full, *general)
-    for r in range(PARTS):
-        found = F.when(n == LEADING + r, F.array(full, *[g for i, g in enumerate(general) if r * (i + 1) // PARTS > r * i // PARTS])).otherwise(found)
-    return F.when(n < LEADING, F.array(full)).otherwise(found)
-
-
 def _located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = q(text_col).cast("string")
     return docs.select(F.struct("*").alias("row"), F.coalesce(q(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("h"), text.alias("t"))
 
 
 def template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(o, h, no, k1, k2): a row for every template of every line that has tokens."""
+    """(o, h, no, k1, k2): a row for every template of every line that has tokens; k1 and k2 are a 128-bit hash of its fixed tokens and its shape."""
     lines = _located(docs, id_col, text_col).select("o", "h", F.posexplode(F.split("t", "\n")).alias("no", "line"))
     tokens = lines.select("o", "h", "no", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    return tokens.select("o", "h", "no", F.explode(_keys(F.col("tokens"))).alias("k")).select("o", "h", "no", "k.k1", "k.k2")
+    # One row a template: tokens a + 1 to b are its variable field, and template -1, the full one, has none.
+    # One small expression for all of them stays in code that the JVM compiles.
+    n = F.size("tokens")
+    at = lambda i: F.floor(F.greatest(n - LEADING, F.lit(0)) * i / PARTS).cast("int") + LEADING
+    bound = lambda i: F.when(F.col("i") < 0, n).otherwise(at(i))
+    each = tokens.select("*", F.explode(F.array(*[F.lit(i) for i in range(-1, PARTS)])).alias("i"))
+    each = each.select("*", bound(F.col("i")).alias("a"), bound(F.col("i") + 1).alias("b")).filter("i < 0 or b > a")
+    fixed = (F.col("i"), n, F.slice("tokens", 1, F.col("a")), F.slice("tokens", F.col("b") + 1, n))
+    return each.select("o", "h", "no", F.xxhash64(*fixed).alias("k1"), F.xxhash64(F.lit("second"), *fixed).alias("k2"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
