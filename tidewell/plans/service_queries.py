@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import values as V
 from tidewell.operators import graph, lateness, latest, search, windows, zset
 from tidewell.plans.builder import Session
+from tidewell.plans.changes import Changelog
 from tidewell.sources import formats, generators, ingest
 
 QUERIES: dict = {}
@@ -371,6 +372,57 @@ def infer_schema(spark, sf_dir):
     return spark.createDataFrame(formats.infer_kinds([r[0] for r in e.select(doc).collect()]), "field string, kind string")
 
 
+# -- statements as changelogs ---------------------------------------------------------------------------
+
+EPOCHS = [0, 1, 2]
+
+
+def _deltas(spark, sf_dir, text, kinds=(), **retention):
+    """Over the changelog in three epochs of 4096 arrivals, 4096 and the rest; kinds make a source of each event type."""
+    log = changes(spark, sf_dir).withColumn("_epoch", F.least(F.floor(F.col("_arrival") / 4096), F.lit(2))).drop("_arrival")
+    c = Changelog(Session(spark)).register("events", log, ts="t", arrival="event_id")
+    for k in kinds:
+        c.register(k, log.filter(F.col("event_type") == k), ts="t", arrival="event_id")
+    return c.deltas(text, EPOCHS, **retention).withColumnsRenamed({"_weight": "weight", "_epoch": "epoch"})
+
+
+def _delta_oracle(columns: str, body: str) -> str:
+    """body: the statement's rows at every epoch e, over n (the net rows at e)."""
+    return f"""
+WITH l AS (SELECT event_id, user_id, event_type, v, t, _weight, least(_arrival // 4096, 2) AS epoch FROM {CHANGES}),
+n AS (SELECT e, event_id, user_id, event_type, v, t FROM l, (VALUES (0), (1), (2)) x(e) WHERE epoch <= e GROUP BY ALL HAVING sum(_weight) > 0),
+s AS ({body}),
+d AS (SELECT e AS epoch, {columns}, 1 AS w FROM s UNION ALL SELECT e + 1, {columns}, -1 FROM s WHERE e < 2)
+SELECT epoch::BIGINT AS epoch, {columns}, sum(w)::BIGINT AS weight FROM d GROUP BY ALL HAVING sum(w) <> 0"""
+
+
+@query(_delta_oracle("user_id, n, total", "SELECT e, user_id, count(*) AS n, sum(v) AS total FROM n GROUP BY ALL"))
+def changes_group(spark, sf_dir):
+    return _deltas(spark, sf_dir, "SELECT user_id, COUNT(*) AS n, SUM(v) AS total FROM events GROUP BY user_id")
+
+
+@query(_delta_oracle("a, b", "SELECT c.e, c.event_id AS a, p.event_id AS b FROM n c LEFT JOIN n p ON c.e = p.e AND c.user_id = p.user_id AND p.event_type = 'purchase' WHERE c.event_type = 'click'"))
+def changes_join(spark, sf_dir):
+    """A padded row is retracted once its key has a partner, and comes back when the last partner goes."""
+    return _deltas(spark, sf_dir, "SELECT c.event_id AS a, p.event_id AS b FROM click c LEFT JOIN purchase p ON c.user_id = p.user_id", ("click", "purchase"))
+
+
+@query(_delta_oracle("user_id, event_id, v", "SELECT e, user_id, event_id, v FROM n QUALIFY row_number() OVER (PARTITION BY e, user_id ORDER BY t DESC, event_id DESC) = 1"))
+def changes_latest(spark, sf_dir):
+    return _deltas(spark, sf_dir, "SELECT user_id, event_id, v FROM events LATEST BY user_id")
+
+
+@query(_delta_oracle("user_id", "SELECT DISTINCT e, user_id FROM n WHERE event_type IN ('click', 'purchase')"))
+def changes_union(spark, sf_dir):
+    return _deltas(spark, sf_dir, "SELECT user_id FROM click UNION SELECT user_id FROM purchase", ("click", "purchase"))
+
+
+@query(_delta_oracle("event_id, user_id", "SELECT e, event_id, user_id FROM n QUALIFY row_number() OVER (PARTITION BY e ORDER BY t DESC, event_id DESC) <= 500"))
+def changes_retention(spark, sf_dir):
+    """Rows that newer ones push out are retracted."""
+    return _deltas(spark, sf_dir, "SELECT event_id, user_id FROM events", max_rows=500)
+
+
 # -- graphs and generators ----------------------------------------------------------------------------
 
 
