@@ -37,6 +37,15 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Co
     return a.join(b, on, how).drop("__lb", "__rb")
 
 
+def stream_interval_join(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], ltime: Column, rtime: Column, within: int, how: str = "inner", residual: Column | None = None) -> DataFrame:
+    """interval_join() of streams: the bound on the watermarked times limits the state and releases padded rows."""
+    d = F.expr(f"interval {within} milliseconds")
+    on = (rtime >= ltime - d) & (rtime <= ltime + d)
+    for x, y in keys:
+        on = on & (x == y)
+    return left.join(right, on if residual is None else on & residual, {"left": "leftOuter", "right": "rightOuter", "full": "fullOuter"}.get(how, how))
+
+
 def semi(left: DataFrame, value: Column, sub: DataFrame) -> DataFrame:
     """value IN (sub); sub has one column."""
     s = sub.toDF("__in")

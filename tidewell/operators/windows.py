@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewell.sql.tree import DialectError
+
 
 def tumbling(df: DataFrame, ts: str, size: int) -> DataFrame:
     """Adds window_start and window_end; arithmetic only, so it stays in the scan's stage."""
@@ -50,6 +52,21 @@ def assign(df: DataFrame, ts: str, kind: str, size: int, advance: int | None = N
     return session(df, ts, size, list(keys))
 
 
+def stream_window(df: DataFrame, time: str, kind: str, size: int, advance: int | None = None) -> DataFrame:
+    """Adds __window, Spark's own, over a watermarked time: what closes windows of a stream and frees their state."""
+    if kind == "session":  # events exactly the gap apart are in one session, so Spark's exclusive gap gets a millisecond more
+        return df.withColumn("__window", F.session_window(time, f"{size + 1} milliseconds"))
+    if advance is not None and advance > size:
+        raise DialectError("a stream's hopping windows leave no gaps")
+    return df.withColumn("__window", F.window(time, f"{size} milliseconds", f"{advance or size} milliseconds"))
+
+
+def stream_bounds(df: DataFrame, kind: str) -> DataFrame:
+    """window_start and window_end of rows grouped by __window, with __first and __last event time for sessions."""
+    start, end = ("__first", "__last") if kind == "session" else (F.unix_millis("__window.start"), F.unix_millis("__window.end"))
+    return df.withColumns({"window_start": F.col(start) if kind == "session" else start, "window_end": F.col(end) if kind == "session" else end}).drop("__window", "__first", "__last")
+
+
 def emit_changes(df: DataFrame, ts: str, size: int, keys: list[str], arrival: str, running: dict[str, Column]) -> DataFrame:
     """Tumbling windows that show every step: a row with running values for each event (_final false), and one per window (_final true).
 

@@ -110,6 +110,17 @@ class Session:
         r = self.compile(text, mode)
         return r.df.select(*[q(n) for n, _ in r.fields])
 
+    def stream(self, text: str, mode: str = "pipeline") -> DataFrame:
+        """The statement over sources whose DataFrames stream, to be written in append mode (LATEST BY, in table mode: update).
+
+        Scans, filters, projections, UNION ALL, one window, interval joins and LATEST BY run as streams. The watermark is
+        Spark's: one for all inputs, advanced after each batch; drivers.StrictLateness drops late events exactly.
+        """
+        from tidewell.streaming import drivers
+
+        drivers.one_watermark(self.spark)
+        return self.sql(text, mode)
+
     def define(self, name: str, text: str, mode: str = "table") -> Session:
         """A statement whose output is a source for others."""
         r = self.compile(text, mode)
@@ -226,7 +237,7 @@ class Builder:
         if node.name not in self.session.relations:
             raise DialectError(f"unknown source {node.name}", *node.pos)
         rel = self.session.relations[node.name]
-        if self.mode == "pipeline" and "_arrival" in rel.df.columns:
+        if self.mode == "pipeline" and "_arrival" in rel.df.columns and not rel.df.isStreaming:
             timed = [n for n in self.names_read if n in self.session.relations and "_arrival" in self.session.relations[n].df.columns]
             rel = replace(rel, df=lateness.drop_late_among([self.session.relations[n].df for n in timed], timed.index(node.name), "_ts", "_arrival"))
         return node.alias, rel
@@ -236,7 +247,12 @@ class Builder:
         scope = {n.lower(): (f"{alias}.{n}", k) for n, k in rel.fields}
         scope |= {"_ts": (f"{alias}._ts", V.LONG), "_source": (f"{alias}._source", V.STRING)}
         order = [q("_arrival").alias("__arrival")] if "_arrival" in rel.df.columns else []
-        return Frame(rel.df.select(*columns, q("_ts").alias("__ts"), *order), {alias: scope}, [(alias, [n for n, _ in rel.fields])])
+        df = rel.df.select(*columns, q("_ts").alias("__ts"), *order)
+        if df.isStreaming:
+            if rel.window:
+                raise DialectError(f"{alias} is windowed; a stream takes no window over windows")
+            df = df.withColumn("__time", F.timestamp_millis("__ts")).withWatermark("__time", f"{lateness.DELAY_MS} milliseconds")
+        return Frame(df, {alias: scope}, [(alias, [n for n, _ in rel.fields])])
 
     def select(self, node: S.Select) -> Relation:
         self.check(node)
@@ -281,7 +297,7 @@ class Builder:
             return Frame(df, {**left.scope, j.source.alias: {"": (name, V.JSON), j.source.alias.lower(): (name, V.JSON)}}, [*left.order, (j.source.alias, [j.source.alias])])
         alias, rel = self.source(j.source)
         right = self.frame(alias, rel)
-        right.df = right.df.withColumnRenamed("__ts", "__rts").drop("__arrival")
+        right.df = right.df.withColumnsRenamed({"__ts": "__rts", "__time": "__rtime"}).drop("__arrival")
         both = Frame(left.df, {**left.scope, **right.scope}, [*left.order, *right.order])
         if self.mode == "pipeline" and j.within is None:
             raise DialectError("a pipeline's join needs WITHIN", *j.pos)
@@ -295,7 +311,11 @@ class Builder:
             raise DialectError("ON needs an equality between the two sides", *j.pos)
         pairs = [(self.promoted(self.expr(left, a), self.expr(right, b))) for a, b in keys]
         residual = reduce(lambda a, b: a & b, [self.expr(both, c).col for c in rest]) if rest else None
-        if j.within is not None:
+        if j.within is not None and left.df.isStreaming:
+            if "__joined" in left.df.columns:
+                raise DialectError("a stream takes one join", *j.pos)
+            df = J.stream_interval_join(left.df, right.df, pairs, F.col("__time"), F.col("__rtime"), j.within, "inner" if j.kind == "cross" else j.kind, residual).withColumn("__joined", F.lit(True))
+        elif j.within is not None:
             df = J.interval_join(left.df, right.df, pairs, F.col("__ts"), F.col("__rts"), j.within, "inner" if j.kind == "cross" else j.kind, residual)
         elif j.kind == "cross":
             df = left.df.crossJoin(right.df)
@@ -352,6 +372,8 @@ class Builder:
         return fr
 
     def in_query(self, fr: Frame, c: S.InQuery) -> Frame:
+        if fr.df.isStreaming:
+            raise DialectError("a stream takes no subqueries", *c.pos)
         inner = self.select(c.query)
         names = [n for n, _ in inner.fields if n not in ("window_start", "window_end")]
         if len(names) != 1:
@@ -376,6 +398,8 @@ class Builder:
 
     def scalar(self, fr: Frame, x: S.ScalarQuery) -> Frame:
         sub: S.Select = x.query
+        if fr.df.isStreaming:
+            raise DialectError("a stream takes no subqueries", *x.pos)
         if len(sub.items) != 1 or not is_aggregate(sub.items[0].expr):
             raise DialectError("a scalar subquery is one aggregate", *x.pos)
         if sub.group_by or sub.group_all:
@@ -455,6 +479,10 @@ class Builder:
     def latest(self, fr: Frame, node: S.Select) -> Frame:
         keys = [self.expr(fr, k) for k in node.latest_by]
         held = fr.df.withColumns({f"__latest{i}": k.col for i, k in enumerate(keys)})
+        if held.isStreaming:
+            from tidewell.streaming import drivers
+
+            return replace(fr, df=drivers.latest_by(held.drop("__time"), [f"__latest{i}" for i in range(len(keys))], "__ts"))
         out = latest.latest_by(held, [f"__latest{i}" for i in range(len(keys))], "__ts", "__arrival" if "__arrival" in held.columns else None)
         return replace(fr, df=out.drop(*[f"__latest{i}" for i in range(len(keys))]))
 
@@ -464,7 +492,12 @@ class Builder:
         cols = {e: f"__g{i}" for i, e in enumerate(keys)}
         df = fr.df.withColumns({cols[e]: t.col.cast(V.SPARK[t.kind]) for e, t in keys.items()}) if keys else fr.df
         bounds = []
-        if node.window:
+        if df.isStreaming:
+            if node.emit == "CHANGES" or "__joined" in df.columns or not node.window:
+                raise DialectError("a stream takes windows over one source, without EMIT CHANGES (see drivers.emit_changes)", *node.pos)
+            df = windows.stream_window(df, "__time", node.window.kind, node.window.size, node.window.advance)
+            bounds = ["__window"]
+        elif node.window:
             df = windows.assign(df, "__ts", node.window.kind, node.window.size, node.window.advance, list(cols.values()))
             bounds = ["window_start", "window_end"]
         aggs: dict[object, tuple[str, str]] = {}
@@ -490,9 +523,13 @@ class Builder:
             calls.append((t.col, name))
         group = [*cols.values(), *bounds]
         counted = [*(c.alias(n) for c, n in calls), F.count(F.lit(1)).alias("__rows")]
+        if df.isStreaming:
+            counted += [F.min("__ts").alias("__first"), F.max("__ts").alias("__last")]
         rows = df
         # Without keys there is one group, which only exists once it has a row.
         df = df.groupBy(*group).agg(*counted) if group else df.agg(*counted).filter("__rows > 0")
+        if df.isStreaming:
+            df, bounds = windows.stream_bounds(df, node.window.kind), ["window_start", "window_end"]
         changes = node.emit == "CHANGES"
         if changes:  # one row per event with what the window held by then, then the final one
             if any(x.distinct or x.name in ("MEDIAN", "PERCENTILE_CONT") for x in aggs):

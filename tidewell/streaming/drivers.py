@@ -1,7 +1,7 @@
 """Structured Streaming forms of the operators.
 
 Times are epoch milliseconds in column `_ts`. The watermark trails the greatest event time by a second. With
-several inputs the greatest watermark counts: set spark.sql.streaming.multipleWatermarkPolicy to max.
+several inputs the greatest watermark counts: one_watermark() says so to the session. Session.stream() compiles a statement to these forms.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.operators import zset
 
 DELAY = "1 second"
 
 
+def one_watermark(spark: SparkSession) -> None:
+    """One watermark for all inputs of a query, the greatest, as the dialect has it."""
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+
+
 def with_event_time(stream: DataFrame, delay: str = DELAY) -> DataFrame:
     """Adds the event-time column that watermarks need, as a timestamp."""
     return stream.withColumn("_time", F.timestamp_millis("_ts")).withWatermark("_time", delay)
@@ -70,72 +76,107 @@ def deltas_after(spark: SparkSession, path: str, epoch: int) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("_epoch") > epoch)
 
 
-def latest_by(stream: DataFrame, key: str, schema: str, order: str = "_ts") -> DataFrame:
-    """Every change of the newest row per key, in update mode; ties go to the later arrival.
+def latest_by(stream: DataFrame, keys: list[str], order: str = "_ts") -> DataFrame:
+    """Every change of the newest row per key, in update mode; ties go to the later row of the stream, and no time is the oldest.
 
-    schema is the stream's, as DDL. State is one row per key.
+    State is one row per key.
     """
-    names = stream.columns
+    plain = [f"c{i}" for i in range(len(stream.columns))]  # the state function doesn't take names with dots
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, stream.schema.fields, strict=True)])
+    at = stream.columns.index(order)
+    longs = [isinstance(f.dataType, T.IntegralType) for f in schema.fields]
 
     def advance(k, batches, state):
         import pandas as pd
 
-        best = dict(zip(names, state.get, strict=True)) if state.exists else None
-        changed = False
+        best, changed = (state.get if state.exists else None), False
         for b in batches:
-            for row in b.to_dict("records"):
-                if best is None or row[order] >= best[order]:
-                    best, changed = row, True
+            times = b.iloc[:, at]
+            i = len(b) - 1 if times.isna().all() else len(b) - 1 - int(times[::-1].reset_index(drop=True).idxmax())
+            row = tuple(None if pd.isna(x) else int(x) if whole else x.item() if hasattr(x, "item") else x for x, whole in zip((b.iloc[i, j] for j in range(b.shape[1])), longs, strict=True))
+            if best is None or best[at] is None or row[at] is not None and row[at] >= best[at]:
+                best, changed = row, True
         if changed:
-            state.update(tuple(None if pd.isna(best[n]) else best[n] for n in names))
-            yield pd.DataFrame([best], columns=names)
+            state.update(best)
+            yield pd.DataFrame([best], columns=plain).astype({n: "Int64" for n, whole in zip(plain, longs, strict=True) if whole})
 
-    return stream.groupBy(key).applyInPandasWithState(advance, schema, schema, "update", "NoTimeout")
+    named = stream.toDF(*plain)
+    out = named.groupBy(*[plain[stream.columns.index(k)] for k in keys]).applyInPandasWithState(advance, schema, schema, "update", "NoTimeout")
+    return out.toDF(*stream.columns)
 
 
-def emit_changes(stream: DataFrame, key: str, value: str, size_ms: int, key_type: str = "string") -> DataFrame:
-    """One row per event with its tumbling window's running count and sum (update mode, arrival order within a batch)."""
+def emit_changes(stream: DataFrame, key: str, value: str, size_ms: int, key_type: str = "string", delay: str = DELAY) -> DataFrame:
+    """One row per event with its tumbling window's running count and sum (update mode), and a final one when the watermark passes the window.
+
+    A sum over no values is NULL. A window's state goes with its final row; events of a window that has closed are dropped.
+    """
     out = f"{key} {key_type}, window_start bigint, window_end bigint, n bigint, total double, _final boolean"
+    names = ["key", "window_start", "window_end", "n", "total", "_final"]
 
     def advance(k, batches, state):
         import pandas as pd
 
-        n, total = state.get if state.exists else (0, 0.0)
+        start = int(k[1])
+        end = start + size_ms
+        if state.hasTimedOut:
+            n, total = state.get
+            state.remove()
+            yield pd.DataFrame([(k[0], start, end, n, total, True)], columns=names).rename(columns={"key": key})
+            return
+        if end <= state.getCurrentWatermarkMs():
+            return
+        n, total = state.get if state.exists else (0, None)
         rows = []
         for b in batches:
             for v in b[value]:
                 n += 1
-                total += 0.0 if pd.isna(v) else float(v)
-                rows.append((k[0], k[1], k[1] + size_ms, n, total, False))
+                total = total if pd.isna(v) else (total or 0.0) + float(v)
+                rows.append((k[0], start, end, n, total, False))
         state.update((n, total))
-        yield pd.DataFrame(rows, columns=["key", "window_start", "window_end", "n", "total", "_final"]).rename(columns={"key": key})
+        state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(rows, columns=names).rename(columns={"key": key})
 
-    windowed_rows = stream.withColumn("__start", F.col("_ts") - F.pmod(F.col("_ts"), F.lit(size_ms)))
-    return windowed_rows.groupBy(key, "__start").applyInPandasWithState(advance, out, "n bigint, total double", "update", "NoTimeout")
+    windowed_rows = with_event_time(stream, delay).withColumn("__start", F.col("_ts") - F.pmod(F.col("_ts"), F.lit(size_ms)))
+    return windowed_rows.groupBy(key, "__start").applyInPandasWithState(advance, out, "n bigint, total double", "update", "EventTimeTimeout")
 
 
 class StrictLateness:
     """foreachBatch helper that drops late rows by the dialect's rule, also within a batch and within open windows.
 
-    The greatest time of earlier batches is kept by epoch, so a repeated batch is judged by what came before it.
+    The greatest time so far is kept by epoch for the last two epochs, so a repeated batch is judged by what came before
+    it. With a path it is kept there too and outlives a restart.
     """
 
-    def __init__(self, then: Callable[[DataFrame, int], None], arrival: str, delay_ms: int = 1000):
-        self.then, self.arrival, self.delay = then, arrival, delay_ms
-        self.tops: dict[int, int | None] = {}
+    def __init__(self, then: Callable[[DataFrame, int], None], arrival: str, delay_ms: int = 1000, path: str | None = None):
+        self.then, self.arrival, self.delay, self.path = then, arrival, delay_ms, path
+        self.tops: dict[int, int | None] | None = None if path else {}
         self.late = 0
 
+    def _load(self, spark: SparkSession) -> dict[int, int | None]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return {}
+        kept = spark.read.schema("top bigint, _epoch bigint").parquet(self.path).orderBy(F.desc("_epoch")).limit(2).collect()
+        return {r["_epoch"]: r.top for r in kept}
+
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         from tidewell.operators import lateness
 
-        before = max((t for e, t in self.tops.items() if e < epoch and t is not None), default=None)
+        spark = batch.sparkSession
+        if self.tops is None:
+            self.tops = self._load(spark)
+        earlier = [e for e in self.tops if e < epoch]
+        before = self.tops[max(earlier)] if earlier else None
         marked = lateness.with_watermark(batch, "_ts", self.arrival, self.delay)
         if before is not None:
             marked = marked.withColumn("_watermark", F.greatest("_watermark", F.lit(before - self.delay)))
         late = F.coalesce(F.col("_ts") < F.col("_watermark"), F.lit(False))
         marked = marked.persist()
         facts = marked.agg(F.max("_ts").alias("top"), F.sum(late.cast("int")).alias("late")).first()
-        self.tops[epoch] = facts.top
-        self.late += facts.late or 0
         self.then(marked.filter(~late).drop("_watermark"), epoch)
         marked.unpersist()
+        top = max((t for t in (before, facts.top) if t is not None), default=None)
+        self.late += facts.late or 0
+        self.tops = {e: self.tops[e] for e in sorted(earlier)[-1:]} | {epoch: top}
+        if self.path:
+            spark.createDataFrame([(top,)], "top bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_epoch={epoch}")
