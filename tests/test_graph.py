@@ -51,6 +51,7 @@ def test_components_over_all_orders(spark, edges):
 def test_paths_of_all_parts(spark):
     parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
     got = catalog.QUERIES["mc_paths"](spark, SF)
+    assert got.columns == ["run_id", "path_id", "instrument_id", "day", "factor", "shock", "value"]
     assert {r[0] for r in got.select("instrument_id").distinct().collect()} == parts
     assert got.count() == len(parts) * 200 * 10
 
