@@ -94,13 +94,19 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    e = np.negative(x)
+    np.exp(e, out=e)
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
-def log_sum_exp(x: np.ndarray) -> np.ndarray:
-    """Over the first axis, which numpy reduces many columns at a time."""
+def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each column of logits the log of one entry's share. Works in place and over the first axis, which numpy reduces many columns at a time."""
     m = x.max(axis=0)
-    return m + np.log(np.exp(x - m).sum(axis=0))
+    x -= m
+    picked = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    return picked - np.log(x.sum(axis=0))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -152,17 +158,15 @@ class GatedModel:
 
     def _log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         p = self.p
-        logits = p["wc"].T @ h.T + p["bc"][:, None]
         c = self.target_class(ids)
-        out = logits[c, np.arange(len(ids))] - log_sum_exp(logits)
+        out = log_share(p["wc"].T @ h.T + p["bc"][:, None], c)
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(self.classes + 1))
         for k in range(self.classes):
             rows = order[edges[k] : edges[k + 1]]
             lo, hi = self.bounds[k], self.bounds[k + 1]
             if len(rows) and hi - lo > 1:
-                inner = p["ww"][:, lo:hi].T @ h[rows].T + p["bw"][lo:hi, None]
-                out[rows] += inner[ids[rows] - lo, np.arange(len(rows))] - log_sum_exp(inner)
+                out[rows] += log_share(p["ww"][:, lo:hi].T @ h[rows].T + p["bw"][lo:hi, None], ids[rows] - lo)
         return out
 
     # -- training -----------------------------------------------------------------------------
@@ -321,6 +325,7 @@ class Scorer:
         self.seen = counts > 0
         self.id_of = np.concatenate([np.arange(n), n + np.array([shape(w) for w in words[n:]], np.int64)]).astype(np.int64)
         self.words, self.counts = words[:n], counts[:n]
+        self.plain = [n + shape(b"x" * k) for k in range(64)]  # ids of rarer ASCII words by length
         self.log_shape = self.model = None
 
     def set_shapes(self, total: np.ndarray, distinct: np.ndarray) -> None:
@@ -334,7 +339,8 @@ class Scorer:
         ids = self.id_of[known]
         missing = np.flatnonzero(known < 0)
         rare = [words[i] for i in missing]
-        ids[missing] = [self.n + shape(x) for x in rare]
+        plain = self.plain
+        ids[missing] = [plain[len(x)] if x.isascii() and len(x) < len(plain) else self.n + shape(x) for x in rare]
         return known, ids, rare
 
     def stream(self, texts: list[str]) -> np.ndarray:
