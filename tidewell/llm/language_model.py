@@ -244,7 +244,16 @@ class GatedModel:
             g["bw"][lo:hi] = e.sum(axis=1)
             dtop[rows] += e.T @ p["ww"][:, lo:hi].T
         dtop = dtop.reshape(len(part), -1, k)
-        by_n, by_z, by_r = (1 - z) * (1 - c * c), (h0 - c) * z * (1 - z), a * r * (1 - r)
+        rest = 1 - z
+        by_z = h0 - c
+        by_z *= z
+        by_z *= rest
+        by_n = c * c
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        by_r = 1 - r
+        by_r *= r
+        by_r *= a
         inner = np.empty_like(gates)
         carry = np.zeros_like(h)
         for t in range(len(part) - 1, -1, -1):
@@ -263,14 +272,24 @@ class GatedModel:
         return g, h, last
 
     def _adam(self, grads: dict, moments: dict, at: int, rate: float) -> None:
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
-        for name, g in grads.items():
+        first, second = rate / (1 - 0.9**at), 1 / np.sqrt(1 - 0.999**at)
+        for name, g in grads.items():  # in place: g is used up
             m, v = moments[name]
-            g = g * np.float32(scale)
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            self.p[name] -= (rate * (m / (1 - 0.9**at)) / (np.sqrt(v / (1 - 0.999**at)) + 1e-8)).astype(np.float32)
+            g *= g.dtype.type(scale)
+            m *= m.dtype.type(0.9)
+            v *= v.dtype.type(0.999)
+            m += g.dtype.type(0.1) * g
+            g *= g
+            g *= g.dtype.type(0.001)
+            v += g
+            np.sqrt(v, out=g)
+            g *= g.dtype.type(second)
+            g += g.dtype.type(1e-8)
+            np.divide(m, g, out=g)
+            g *= g.dtype.type(first)
+            self.p[name] -= g
 
     # -- scoring ------------------------------------------------------------------------------
 
