@@ -73,3 +73,15 @@ def test_labels_of_the_held_out_fold_are_not_learnt(spark):
     flipped = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - quality else quality end as quality")
     a, b = (sorted((r.doc_id, r.score) for r in quality.classify(docs, x).collect()) for x in (labels, flipped))
     assert a == b
+
+
+def test_a_text_goes_to_a_worker_once_and_comes_back_in_slices(spark):
+    docs = spark.range(0, 2500, numPartitions=1).selectExpr("id AS doc_id", "'one line' AS text")
+    field = quality.LineField.always(0.5)
+    out = quality.score(docs, field)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    line = plan[plan.index("MapInArrow") :].split("\n")[1]
+    assert line.count(" AS c") == len(docs.columns)
+    assert out.count() == 2500 and {r["__score"] for r in out.collect()} == {0.5}
+    numbers = docs.selectExpr("doc_id", "doc_id AS text")  # a text of another type is cast, and its column stays as it is
+    assert sorted(tuple(r) for r in quality.score(numbers, field).collect()) == [(i, i, 0.5) for i in range(2500)]

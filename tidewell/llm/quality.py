@@ -32,6 +32,8 @@ THRESHOLD = 0.7
 FOLDS, FOLD = 4, 2
 #: Documents featurised at once, and cells of the padded matrix that runs through the chain at once.
 GROUP, CELLS = 256, 1 << 18
+#: Rows that a worker scores and returns at once.
+SLICE = 1024
 #: Byte classes: upper, lower, digit, space, stop, shout, bar, symbol, beyond ASCII.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\x0b\x0c", b".,;:'\"()-", b"!?", b"|", b"#$%&*@^~<>{}[]\\/_=+`", bytes(range(128, 256)))
 _CLASS = np.full(256, len(CLASSES), np.int64)
@@ -222,12 +224,16 @@ def score(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: s
         import pyarrow as pa
 
         for b in batches:
-            got = field.score(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=names)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                got = field.score(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 1], pa.array(got, pa.float64())], names=names)
 
-    # By position, as mapInArrow doesn't take names with dots.
+    # By position, as mapInArrow doesn't take names with dots. A text that is a string already goes to the worker once.
     names = [f"c{i}" for i in range(len(docs.columns) + 1)]
-    out = docs.select(*[q(c).alias(n) for c, n in zip(docs.columns, names, strict=False)], q(text_col).cast("string").alias(names[-1]))
+    plain = text_col in docs.columns and isinstance(docs.schema[text_col].dataType, T.StringType)
+    at = docs.columns.index(text_col) if plain else len(docs.columns)
+    out = docs.select(*[q(c).alias(n) for c, n in zip(docs.columns, names, strict=False)], *([] if plain else [q(text_col).cast("string").alias(names[-1])]))
     schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=False)], T.StructField(names[-1], T.DoubleType())])
     return out.mapInArrow(run, schema).toDF(*docs.columns, fresh(docs, "__score"))
 
