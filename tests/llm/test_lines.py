@@ -92,3 +92,15 @@ def test_corpus_against_brute_force(spark, sf_small):
     got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
     assert got == want
     assert sum(want[i] != t for i, t in rows) > 3
+
+
+def test_texts_are_masked_whole_before_their_lines_are_taken(spark):
+    docs = spark.createDataFrame([(1, "a\tb 12\x0b3\rc\x0cd  e\n\t\n7up 3 x"), (2, " a b 4  55 c d e \n9up\t10 x\nü b"), (3, None)], "doc_id long, text string")
+    keyed = lines.template_lines(docs)
+    plan = keyed._jdf.queryExecution().analyzed().toString().split("\n")
+    assert all("posexplode" in x for x in plan if "regexp_replace" in x or "RLIKE" in x) and "regexp_replace" in "".join(plan)
+    got = {}
+    for r in keyed.collect():
+        got.setdefault((r.o, r.no), set()).add((r.k1, r.k2))
+    assert sorted(got) == [(1, 0), (1, 2), (2, 0), (2, 1), (2, 2)]
+    assert got[1, 0] == got[2, 0] and len(got[1, 0]) == 4 and got[1, 2] == got[2, 1] and len(got[2, 2]) == 1
