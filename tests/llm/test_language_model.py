@@ -183,3 +183,22 @@ def test_the_querys_scores_against_brute_force(spark, sf_small):
     got = {r.doc_id: r.score for r in lm.score(docs).collect()}
     for r in docs.limit(60).collect():
         assert got[r.doc_id] == pytest.approx(brute(r.text), rel=1e-3)
+
+
+def test_texts_looked_up_together_give_what_each_gives_alone():
+    import pyarrow as pa
+
+    words = [b"", *(b"w%d" % i for i in range(300))]
+    s = lm.Scorer(words, np.arange(301, 0, -1), 45_451, 400)
+    s.set_shapes(np.full(12, 5.0), np.full(12, 2.0))
+    texts = [None, "", "w1 rare rare W2 ünseen", "x " * 200_000, *(f"w{i} w{i + 1} other{i} other{i}" for i in range(100)), "last-rare"]
+    groups = list(lm.together(pa.array(texts)))
+    assert [t for g in groups for t in g] == texts and len(groups[0]) == 4 and max(map(len, groups)) == lm.LOOKUP
+    got, alone = s.score(texts), [s.score([t]) for t in texts]
+    assert [dict(c) for c in got[4]] == [dict(a[4][0]) for a in alone]
+    for i in range(4):
+        assert np.allclose(got[i], [a[i][0] for a in alone], rtol=1e-6)
+    ids = np.arange(len(s.model.p["x"]))
+    c = s.model.target_class(ids)
+    order, edges = s.model.by_class(c)
+    assert c.dtype == np.uint16 and all((order[edges[k] : edges[k + 1]] == np.flatnonzero(c == k)).all() for k in range(s.model.classes))

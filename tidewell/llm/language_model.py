@@ -28,7 +28,7 @@ from __future__ import annotations
 import copy
 from collections import Counter
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,6 +47,8 @@ WINDOW, STREAMS, EPOCHS, RATE = 20, 64, 2, 0.01
 PASS_STREAMS, PASS_STEPS, PASS_RATE, PASS_FALL, PASS_TOKENS = 512, 100, 0.004, 100, 2_000_000
 #: Documents that advance together, and rows that go through the output at once: what fits a processor's cache.
 TOGETHER, ROWS = 1024, 8192
+#: Texts whose words are looked up in one call, and the bytes of them after which no other text joins.
+LOOKUP, LOOKUP_BYTES = 32, 1 << 18
 #: Parts in which the partitions' parameters meet.
 SLICES = 16
 #: Distinct words that a counting worker holds, and tokens that a scoring worker holds, at most.
@@ -128,6 +130,8 @@ class GatedModel:
         self.word_class = np.unique(self.word_class, return_inverse=True)[1]  # no class is empty
         self.bounds = np.searchsorted(self.word_class, np.arange(self.word_class[-1] + 2))
         self.classes = len(self.bounds) - 1
+        # 16 bits: numpy sorts those by radix.
+        self.class_of = np.concatenate([self.word_class, self.classes + np.arange(len(shape_mass))]).astype(np.uint16)
         by_class = np.add.reduceat(counts.astype(float), self.bounds[:-1])
         f = np.float32
         self.p = {
@@ -141,7 +145,11 @@ class GatedModel:
         }
 
     def target_class(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < self.n, self.word_class[np.minimum(ids, self.n - 1)], ids - self.n + self.classes)
+        return self.class_of[ids]
+
+    def by_class(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in order of their class, and where each class of words begins and ends there."""
+        return np.argsort(classes, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=self.classes))])
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple:
         k, p = self.hidden, self.p
@@ -160,8 +168,7 @@ class GatedModel:
         p = self.p
         c = self.target_class(ids)
         out = log_share(p["wc"].T @ h.T + p["bc"][:, None], c)
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
+        order, edges = self.by_class(c)
         for k in range(self.classes):
             rows = order[edges[k] : edges[k + 1]]
             lo, hi = self.bounds[k], self.bounds[k + 1]
@@ -231,11 +238,12 @@ class GatedModel:
         d /= n
         g["wc"], g["bc"] = top.T @ d.T, d.sum(axis=1)
         dtop = d.T @ p["wc"].T
-        for j in np.unique(cls[ids < self.n]):
+        order, edges = self.by_class(cls)
+        for j in range(self.classes):
             lo, hi = self.bounds[j], self.bounds[j + 1]
-            if hi - lo < 2:
+            rows = order[edges[j] : edges[j + 1]]
+            if hi - lo < 2 or not len(rows):
                 continue
-            rows = np.flatnonzero(cls == j)
             there = top[rows]
             e = softmax(p["ww"][:, lo:hi].T @ there.T + p["bw"][lo:hi, None])
             e[ids[rows] - lo, np.arange(len(rows))] -= 1
@@ -265,7 +273,7 @@ class GatedModel:
             carry[start[t]] = 0
         g["u"] = h0.reshape(n, k).T @ inner.reshape(n, -1)
         before, gates = before.ravel(), gates.reshape(n, -1)
-        order = np.argsort(before, kind="stable")
+        order = np.argsort(before.astype(np.uint16) if len(p["x"]) <= 1 << 16 else before, kind="stable")
         own, starts = np.unique(before[order], return_index=True)
         g["x"][own] = np.add.reduceat(gates[order], starts, axis=0)
         g["b"] += gates.sum(axis=0)
@@ -367,12 +375,15 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """For each text: n_tokens, n_known, base, score (without the counts of words not known here) and those words' counter."""
-        parts, others = [], []
-        for t in texts:
-            k, ids, rare = self.ids(tokens(t))
+        parts, others, lens = [], [], []
+        for i in range(0, len(texts), LOOKUP):
+            words = [tokens(t) for t in texts[i : i + LOOKUP]]
+            lens += map(len, words)
+            k, ids, rare = self.ids([*chain.from_iterable(words)])
             parts.append((k, ids))
-            others.append(Counter(rare))
-        lens = np.array([len(k) for k, _ in parts])
+            ends = np.cumsum(k < 0)[np.cumsum([len(w) for w in words]) - 1].tolist()
+            others += [Counter(rare[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        lens = np.array(lens)
         known, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         there = known >= 0
@@ -385,6 +396,19 @@ class Scorer:
         return lens, n_known, base, score, others
 
 
+def together(column) -> Iterable[list[str | None]]:
+    """The texts of an Arrow column, up to LOOKUP at a time."""
+    held, load = [], 0
+    for t in column:
+        held.append(t.as_py())
+        load += len(held[-1] or "")
+        if len(held) == LOOKUP or load >= LOOKUP_BYTES:
+            yield held
+            held, load = [], 0
+    if held:
+        yield held
+
+
 def train_everywhere(scorer: Scorer, texts: DataFrame) -> int:
     """Trains the scorer's network on all rows of texts(t), per partition from the same start, and averages; the number of tokens trained on."""
     sc = texts.sparkSession.sparkContext.broadcast(scorer)
@@ -392,8 +416,8 @@ def train_everywhere(scorer: Scorer, texts: DataFrame) -> int:
     def streams(batches):
         held, load = [], 0
         for b in batches:
-            for t in b.column(0):
-                held.append(sc.value.stream([t.as_py()]))
+            for texts in together(b.column(0)):
+                held.append(sc.value.stream(texts))
                 load += len(held[-1])
                 if load >= PASS_TOKENS:
                     yield np.concatenate(held)
