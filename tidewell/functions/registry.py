@@ -1,6 +1,6 @@
 """Scalar functions of the dialect and the registry for more.
 
-A function maps typed arguments to a typed Column, so everything stays in generated code. Built-ins
+A function maps typed arguments to a typed Column, so everything stays in generated code but the normal distribution. Built-ins
 can't be replaced; registered names replace each other.
 """
 
