@@ -1,9 +1,12 @@
 """The graph queries over all orders and the paths of all parts, by brute force on the smallest tables."""
 
+import math
+
 import pytest
 
 from tidewell.operators import graph
 from tidewell.plans import catalog
+from tidewell.sources import generators
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +93,19 @@ def test_closure_meets_a_pair_once_for_each_middle(spark, monkeypatch):
     out = neighbours([e for e in chain if None not in e])
     assert got == sorted((a, b) for a in out for b in reached(out, [a]))
     assert 0 < sum(before) < 2 * len(got)
+
+
+def test_paths_are_neither_shuffled_nor_sorted(spark):
+    """Only the book is dealt out: the paths went through a shuffle and a sort for their running sums."""
+    book = spark.createDataFrame([(1, "a", 100.0, 0.2), (2, "b", 50.0, 0.3), (3, None, 10.0, 0.1)], "instrument_id long, grp string, s0 double, vol double")
+    for model, paths, days in (("gaussian", 1100, 2), ("lognormal", 3, 40), ("student_t", 2, 16)):
+        got = generators.scenario_paths(spark, paths, book, days, 0.4, model=model)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan and plan.index("RepartitionByExpression") > plan.rindex("path_id")
+        walk, s0, seen = {}, {1: 100.0, 2: 50.0, 3: 10.0}, set()
+        for r in sorted(got.collect(), key=lambda r: (r.instrument_id, r.path_id, r.day)):
+            key, daily = (r.instrument_id, r.path_id), {1: 0.2, 2: 0.3, 3: 0.1}[r.instrument_id] / 252**0.5
+            seen.add((*key, r.day))
+            walk[key] = walk.get(key, 0.0) + daily * r.shock - (daily * daily / 2 if model == "lognormal" else 0)
+            assert r.value == pytest.approx(s0[r.instrument_id] * (math.exp(walk[key]) if model == "lognormal" else 1 + walk[key]), rel=1e-12)
+        assert seen == {(i, p, d) for i in (1, 2, 3) for p in range(paths) for d in range(1, days + 1)}
